@@ -72,3 +72,9 @@ def forget(*dfs: DataFrame) -> None:
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
+    """Bound what Arrow hands to a Python worker at once, as texts may be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
