@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keytide.llm import decontaminate
+from keytide.llm import decontaminate, licenses, near_dups
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontaminate": decontaminate.query}
+    return {"op2_decontaminate": decontaminate.query, "op4_near_dups": near_dups.query, "op6_licenses": licenses.query}
 
 
 def oracle_sql() -> dict[str, str]:
