@@ -1,11 +1,68 @@
-"""The corpus pipeline (being built up)."""
+"""The corpus pipeline: toxicity, quality, near-duplicates, benchmark decontamination, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last
+return the columns of ``documents``. Learned models come from the labels and the documents that a stage is
+given; statistics of the corpus are those of the stage's own input.
+
+toxicity: drops texts that score at least 0.7.
+quality: keeps the Gumbel top-k by importance weight, k being the number of texts above the weight that best
+    separates labelled good from bad; the low temperature leaves chance only to texts at that threshold.
+near_dups: of each component of 5-word-shingle similarity >= 0.8, the text with the smallest id stays; texts
+    without words stay. Rows that repeat an id stay once.
+decontaminate: drops texts in which a 10-word window of a benchmark item occurs.
+pack: pieces of at most 2048 tokens with their place in a sequence.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from keytide.llm import decontaminate as _decontaminate, near_dups as _near_dups, packing, quality as _quality, toxicity as _toxicity
+from keytide.llm.common import cut, row_key, table
+
+#: SQL can't express the stages' models; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _only(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id and text ``decided`` (doc_id, row_key) holds."""
+    d = decided.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
+    return docs.join(d, F.col("doc_id").eqNullSafe(F.col("_id")) & (row_key(F.col("text")) == F.col("_key")), "left_semi")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = _toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return _toxicity.score(docs, model, into="_toxicity").filter(F.col("_toxicity.score") < 0.7).drop("_toxicity")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = _quality.fit(docs, table(spark, sf_dir, "labels"))
+    drawn = _quality.resample(docs, model, temperature=0.05)
+    return _only(docs, drawn.filter("selected"))
+
+
+def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = cut(_near_dups.near_dups(docs, shingle=5).filter("kept").select("doc_id", "row_key"))
+    once = found.groupBy("doc_id").agg(F.min("row_key").alias("row_key"), F.count("*").alias("n"))
+    stay = _only(docs, once)
+    return stay.dropDuplicates(["doc_id"]) if not once.filter("n > 1").isEmpty() else stay
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    hit = _decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return _only(docs, hit.filter("n_hit = 0"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = packing.pack(docs, carry={"ids_crc32": F.crc32("ids")})
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [("toxicity", toxicity), ("quality", quality), ("near_dups", near_dups), ("decontaminate", decontaminate), ("pack", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = cut(stage(spark, docs, sf_dir))
     return docs

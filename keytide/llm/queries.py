@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keytide.llm import decontaminate, licenses, near_dups
+from keytide.llm import chat, decontaminate, licenses, near_dups, packing, quality, sharding, token_counts, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontaminate": decontaminate.query, "op4_near_dups": near_dups.query, "op6_licenses": licenses.query}
+    return {
+        "op1_token_counts": token_counts.query,
+        "op2_decontaminate": decontaminate.query,
+        "op3_toxicity": toxicity.query,
+        "op4_near_dups": near_dups.query,
+        "op5_sharding": sharding.query,
+        "op6_licenses": licenses.query,
+        "op7_quality": quality.query,
+        "op8_near_vectors": vectors.query,
+        "op9_packing": packing.query,
+        "op10_chat": chat.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
+    """The others hold learned models, tokenizers, projections or components: tests hold them against brute force."""
     return {"op2_decontaminate": decontaminate.SQL}

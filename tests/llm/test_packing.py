@@ -1,0 +1,117 @@
+import itertools
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers as P
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from keytide.llm import packing as K
+from keytide.llm.common import table
+
+
+def valid(solution, counts, capacity):
+    used = Counter()
+    for fill, times in solution:
+        assert sum(fill) <= capacity and times > 0
+        for n in fill:
+            used[n] += times
+    assert used == Counter({n: c for n, c in counts.items() if c})
+    return sum(t for _, t in solution)
+
+
+def optimum(items, capacity):
+    """The fewest bins, by trying every partition in order of size."""
+    items = sorted(items, reverse=True)
+    best = [len(items)]
+
+    def put(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for b in range(len(bins)):
+            if bins[b] + items[i] <= capacity and bins[b] not in bins[:b]:
+                put(i + 1, bins[:b] + [bins[b] + items[i]] + bins[b + 1 :])
+        put(i + 1, [*bins, items[i]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_small_packings_are_optimal_or_nearly():
+    rng, off = random.Random(3), 0
+    for _ in range(120):
+        cap = rng.choice([10, 20, 37])
+        items = [rng.randrange(1, cap + 1) for _ in range(rng.randrange(1, 11))]
+        counts = Counter(items)
+        got, best = valid(K.complete(counts, cap), counts, cap), optimum(items, cap)
+        assert K.lower_bound(counts, cap) <= best <= got <= valid(K.best_fit_decreasing(counts, cap), counts, cap)
+        off += got - best
+    assert off <= 1
+
+
+def test_large_histogram_meets_the_bound():
+    rng = random.Random(1)
+    counts = Counter(min(2048, int(rng.lognormvariate(6.3, 1))) or 1 for _ in range(50_000))
+    assert valid(K.complete(counts, 2048), counts, 2048) <= K.lower_bound(counts, 2048) + 1
+
+
+def test_places_are_gapless():
+    counts = {7: 5, 3: 11, 2: 9, 10: 2}
+    where = K.places(K.complete(counts, 10))
+    taken = {}
+    for n, c in counts.items():
+        first, base, per, at, off = where[n]
+        for r in range(c):
+            i = np.searchsorted(first, r, "right") - 1
+            k = r - first[i]
+            taken.setdefault(int(base[i] + k // per[i]), []).append((int(off[at[i] + k % per[i]]), n))
+    for parts in taken.values():
+        parts.sort()
+        assert [o for o, _ in parts] == list(itertools.accumulate([0] + [n for _, n in parts]))[:-1]
+
+
+def check(rows, texts, capacity):
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = Counter()
+    for d, text in texts:
+        ids = t.encode(text or "", add_special_tokens=False).ids + [0]
+        for i, (s, n) in enumerate(K.cuts(len(ids), capacity)):
+            want[d, i, s, n, zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes())] += 1
+    assert want == Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by.values():
+        parts.sort()
+        assert [o for o, _ in parts] == list(itertools.accumulate([0] + [n for _, n in parts]))[:-1] and sum(n for _, n in parts) <= capacity
+    return len(by)
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = K.query(spark, sf).collect()
+    n = check(rows, [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()], 2048)
+    assert n <= -(-sum(r.length for r in rows) // 2048) + 2
+
+
+def test_odd_texts(spark, tmp_path):
+    texts = [(1, None), (2, ""), (None, "a"), (3, "<|endoftext|> x <|endoftext|>"), (4, "é😀 " * 3000), (5, "a" * 9000), (6, " \n\n\t x"), (1, "dup"), (1, "dup"), (7, " a　b ")]
+    df = spark.createDataFrame([(*t, "x", 1) for t in texts], "doc_id long, text string, piece string, length int")
+    out = K.pack(df, capacity=64, carry={"ids": F.col("ids"), "ids_crc32": F.crc32("ids")})
+    n = check(out.collect(), texts, 64)
+    K.write_sequences(out, str(tmp_path / "seq"))
+    whole = spark.read.parquet(str(tmp_path / "seq")).collect()
+    assert len(whole) == n and sum(len(r.ids) for r in whole) == 4 * sum(r.length for r in out.collect())
+    assert K.pack(df.limit(0)).count() == 0
+
+
+def test_encoder_without_ranks_agrees():
+    e, f = K.Encoder(P.path("byte_bpe_50k.json")), K.Encoder(**K.public_encoder())
+    for s in ["", "Hello  world<|endoftext|>", "ñ\x00 "]:
+        assert e(s).tolist() == f(s).tolist()
+    assert f.fast is not None

@@ -1,0 +1,67 @@
+import random
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from keytide.llm import toxicity as T
+from keytide.llm.common import table
+
+SF = "/root/testdata/sf0.1"
+
+
+def brute_segments(values):
+    """All maximal segments by their definition, recursively: the best one, then what is left and right of it."""
+    if not len(values):
+        return []
+    s = np.concatenate([[0], np.cumsum(values)])
+    best = max(((s[j] - s[i], -(j - i), -i, i, j) for i in range(len(s)) for j in range(i + 1, len(s))), key=lambda x: x[:3])
+    if best[0] <= 0:
+        return []
+    i, j = best[3:]
+    return brute_segments(values[:i]) + [(i, j, best[0])] + [(a + j, b + j, v) for a, b, v in brute_segments(values[j:])]
+
+
+def test_segments_against_the_definition():
+    rng = random.Random(0)
+    for _ in range(200):
+        n = rng.randrange(1, 30)
+        drift = -rng.choice([0.37, 1.01, 2.3])
+        at = np.array(sorted(rng.sample(range(n), rng.randrange(0, n + 1))), int)
+        w = np.array([rng.uniform(0.5, 3) for _ in at])
+        values = np.full(n, drift)
+        values[at] = w
+        want = [(int(at[0]) * 0 + i, j, v) for i, j, v in brute_segments(values)] if len(at) else []
+        got = T.segments(at, w, drift)
+        # the definition's segments begin and end with positive values
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
+        assert np.allclose([v for *_, v in got], [v for *_, v in want])
+
+
+def test_segments_are_linear():
+    at = np.arange(0, 400_000, 2)
+    got = T.segments(at, np.linspace(3, 1, len(at)), -1.5)
+    assert got
+
+
+def test_held_out_accuracy(spark):
+    truth = {r.doc_id: r.toxic for r in table(spark, SF, "labels").collect()}
+    out = T.query(spark, SF).collect()
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
+    held = [(truth[r.doc_id], r.predicted, r.score) for r in out if r.held_out and r.doc_id in truth]
+    hit, toxic = sum(p for y, p, _ in held if y), sum(y for y, *_ in held)
+    false = sum(p for y, p, _ in held if not y)
+    assert hit >= 0.9 * toxic and false <= 0.01 * len(held), (hit, toxic, false, len(held))
+
+
+def test_odd_rows(spark):
+    schema = "doc_id long, text string, score string, toxic int"
+    docs = spark.createDataFrame([(1, None, "x", 5), (2, "", "x", 5), (None, "a b", "x", 5), (4, "idiot " * 50_000, "x", 5), (4, "idiot", "x", 5)] + [(i, ("idiot fool " if i % 2 else "nice day ") * 3 + f"w{i}", "x", 5) for i in range(10, 200)], schema)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10, 200)] + [(11, None), (None, 1), (12, 0)], "doc_id long, toxic int")
+    model = T.fit(docs, labels)
+    got = {(r.doc_id, len(r.text or "")): r.toxicity for r in T.score(docs, model).collect()}
+    assert got[1, 0].score == got[2, 0].score < 0.5 < got[4, 5].score <= got[4, 300_000].score
+    assert got[4, 300_000].starts
+    empty = T.fit(docs.limit(0), labels)
+    assert empty.weights == {} and T.score(docs.limit(0), empty).count() == 0
+    assert T.fit(docs, labels.limit(0)).weights == {} and F is not None
