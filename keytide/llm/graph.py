@@ -7,6 +7,7 @@ one aggregate and one join with it, which Spark can split; nothing is gathered p
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from keytide.llm.common import cut, forget
@@ -40,3 +41,30 @@ def components(edges: DataFrame) -> DataFrame:
             break
         was = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def spanning_forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what the given ones connect, fewer than there are nodes."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        r, s = root(x), root(y)
+        if r != s:
+            up[max(r, s)] = min(r, s)
+            out.append((x, y))
+    return out
+
+
+def deal(members: DataFrame, node: str, *more: str) -> DataFrame:
+    """Members of groups (key), each with its group's number of ``blocks``, dealt to all pairs of blocks of the group that
+    theirs is in: key, i, j, side (0: in block i, 1: in block j), node and the columns in ``more``."""
+    mine = F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")
+    dealt = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), node, *more)

@@ -9,14 +9,16 @@ none with probability (1 - 0.8^5)^32 = 3e-6.
 
 Classes. Documents with equal sets are one class from the start, so copies cost one aggregate row.
 
-Verification without all pairs. In each bucket, every class is compared, on full sets, with the
-bucket's smallest class (round 1); where a bucket still holds several components, with its largest
-(round 2). What is then left unconnected inside a bucket is compared pair by pair, but only if sizes
-and the triangle inequality allow a link: Jaccard distance is a metric, and both distances to the
-bucket's smallest class are known exactly. No bucket has a cap and no link is lost that way.
+Verification without pair rows. In each bucket, every class is compared, on full sets, with the
+bucket's smallest class, and what is linked makes components. A bucket that still holds several components
+is compared as a whole: its members' sets go to tiles of two blocks of members (a block has at most about
+``TILE`` members and ``TILE_SHINGLES`` shingles, so no task holds a bucket), where the sizes of all
+intersections are one product of incidence matrices, and only a spanning forest of the links between
+different components leaves the tile. No bucket has a cap and no link is lost that way.
 
 A document without words has an empty set, is linked with nothing and stays. Null texts are empty.
-Rows that repeat an id with equal texts get equal results.
+Rows that repeat an id with equal texts get equal results. A null id
+counts as the id of a component only if there is no other.
 """
 
 from __future__ import annotations
@@ -31,9 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from keytide.llm.common import cut, forget, row_key, small_batches, table
-from keytide.llm.graph import components
+from keytide.llm.graph import components, deal, spanning_forest
 
 T, BANDS, ROWS = 160, 32, 5
+TILE, TILE_SHINGLES = 1024, 1_500_000
 _U = np.uint64
 _EMPTY = ~_U(0)
 
@@ -148,19 +151,73 @@ def _full_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, dist (exact Jaccard distance), linked, for distinct pairs."""
+    """The pairs (a, b) that are linked, of distinct pairs."""
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     both = two.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("i"))
-    union = F.col("total") - F.col("i")
-    return both.select("a", "b", (1 - F.col("i") / union).alias("dist"), (100 * F.col("i").cast("long") >= percent * union.cast("long")).alias("linked"))
+    return both.filter(100 * F.col("i").cast("long") >= percent * (F.col("total") - F.col("i"))).select("a", "b")
 
 
 def _split(inside: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, with their component."""
+    """Members of buckets that hold several components, with their component and the number of blocks."""
     c = inside.join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    several = c.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-    return c.join(several, "key", "left_semi")
+    most = F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)
+    several = c.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(most).cast("int").alias("blocks")).filter("lo != hi").drop("lo", "hi")
+    return c.join(several, "key")
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """The sizes of the intersections of all pairs of sorted distinct arrays, by products of 0/1 matrices over a
+    few thousand shared shingles at a time."""
+    flat = np.concatenate([*left, *right])
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    first = np.concatenate([[True], flat[1:] != flat[:-1]])
+    which = np.cumsum(first) - 1
+    times = np.bincount(which)
+    shared = times[which] > 1
+    row, which = row[shared], which[shared]
+    col = np.cumsum(np.concatenate([[0], (which[1:] != which[:-1])])) if len(which) else which
+    out = np.zeros((len(left), len(right)), np.int64)
+    for c in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+        a, b = np.searchsorted(col, [c, c + width])
+        m = np.zeros((len(left) + len(right), width), np.float32)
+        m[row[a:b], col[a:b] - c] = 1
+        out += np.rint(m[: len(left)] @ m[len(left) :].T).astype(np.int64)
+    return out
+
+
+def _link_tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """a, b: a spanning forest of the links between different components in each tile; rows come sorted by tile."""
+
+    def links(tile: list[tuple]) -> list[tuple[int, int]]:
+        whole = tile[0][0] == tile[0][1]
+        left = tile if whole else [r for r in tile if r[2] == 0]
+        right = tile if whole else [r for r in tile if r[2] == 1]
+        if not left or not right:
+            return []
+        both = intersections([r[4] for r in left], [r[4] for r in right])
+        size = np.add.outer([len(r[4]) for r in left], [len(r[4]) for r in right])
+        ca, cb = np.array([r[3] for r in left]), np.array([r[3] for r in right])
+        x, y = np.nonzero((100 * both >= percent * (size - both)) & (ca[:, None] != cb))
+        pairs = np.unique(np.stack([np.minimum(ca[x], cb[y]), np.maximum(ca[x], cb[y])], 1), axis=0)
+        return spanning_forest(pairs[:, 0], pairs[:, 1])
+
+    now, tile = None, []
+    for batch in batches:
+        out: list[tuple[int, int]] = []
+        cols = [batch.column(c).to_pylist() for c in ("key", "i", "j", "side", "comp")]
+        sets = batch.column("shingles")
+        flat, ends = sets.values.to_numpy(zero_copy_only=False).view(np.uint64), sets.offsets.to_numpy()
+        for r, (key, i, j, side, comp) in enumerate(zip(*cols, strict=True)):
+            if (key, i, j) != now:
+                out += links(tile) if tile else []
+                now, tile = (key, i, j), []
+            tile.append((i, j, side, comp, flat[ends[r] : ends[r + 1]].copy()))
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    out = links(tile) if tile else []
+    yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def near_dups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,39 +228,29 @@ def near_dups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_id: s
     src = docs.select(F.col(doc_id).cast("long").alias("id"), row_key(F.col(text)).alias("h"), F.col(text).alias("text"))
     prints = cut(src.mapInArrow(partial(_fingerprint, k=shingle), "id long, h long, n long, digest binary, keys array<long>"))
     first = F.min(F.struct("id", "h")).alias("rep")
-    classes = prints.filter("n > 0").groupBy("digest").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys"))
-    classes = cut(classes.select("digest", F.col("rep.id").alias("rep_id"), F.col("rep.h").alias("rep_h"), "n", "keys", F.monotonically_increasing_id().alias("node")))
+    classes = prints.filter("n > 0").groupBy("digest").agg(first, F.min("id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = cut(classes.select("digest", F.col("rep.id").alias("rep_id"), F.col("rep.h").alias("rep_h"), "least", "n", "keys", F.monotonically_increasing_id().alias("node")))
 
     rows = classes.select(F.explode("keys").alias("key"), "node", "n")
-    heads = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("l1"), F.max("node").alias("l2")).filter("c > 1").drop("c")
+    heads = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("l1")).filter("c > 1").drop("c")
     inside = cut(rows.join(heads, "key"))
-    wanted = inside.select("node").distinct().join(classes.select("node", F.col("rep_id").alias("id"), F.col("rep_h").alias("h")), "node")
-    sets = cut(src.join(wanted, ["id", "h"]).select("node", "text").mapInArrow(partial(_full_sets, k=shingle), "node long, shingles array<long>").dropDuplicates(["node"]))
+    wanted = inside.select("node").distinct().join(classes.select("node", F.col("rep_id").alias("id_"), F.col("rep_h").alias("h_")), "node")
+    sets = cut(src.join(wanted, src["id"].eqNullSafe(F.col("id_")) & (src["h"] == F.col("h_"))).select("node", "text").mapInArrow(partial(_full_sets, k=shingle), "node long, shingles array<long>").dropDuplicates(["node"]))
 
-    one = cut(_verify(inside.filter("node != l1").select(F.col("l1").alias("a"), F.col("node").alias("b")).distinct(), sets, percent))
-    links = one.filter("linked").select("a", "b")
+    links = _verify(inside.filter("node != l1").select(F.col("l1").alias("a"), F.col("node").alias("b")).distinct(), sets, percent)
     roots = components(links)
-    near = _split(inside, roots).join(one.select(F.col("a").alias("l1"), F.col("b").alias("node"), "dist"), ["l1", "node"], "left")
-    near = cut(near.withColumn("dist", F.coalesce("dist", F.lit(0.0))))
-    pairs = near.filter("node != l2").select(F.col("node").alias("a"), F.col("l2").alias("b")).distinct()
-    two = _verify(pairs, sets, percent).filter("linked").select("a", "b")
-    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots2 = components(stars.unionByName(two))
-
-    rest = _split(near.filter("node != l1 and node != l2").drop("comp"), roots2)
-    x, y = (rest.select("key", F.col("node").alias(a), F.col("n").alias(f"n{a}"), F.col("comp").alias(f"c{a}"), F.col("dist").alias(f"d{a}")) for a in "ab")
-    gap = 1 - percent / 100 + 1e-9
-    may = (F.col("ca") < F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= gap) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    three = _verify(x.join(y, "key").filter(may).select("a", "b").distinct(), sets, percent).filter("linked").select("a", "b")
-    final = components(roots2.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(three))
-    forget(sets, inside, near)
-
-    named = classes.select("digest", "rep_id", "node").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("rep_id").alias("component_id"))
+    rest = deal(_split(inside, roots), "node", "comp")
+    tiles = rest.join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = cut(tiles.select("key", "i", "j", "side", "comp", "shingles").mapInArrow(partial(_link_tiles, percent=percent), "a long, b long"))
+    final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)) if not more.isEmpty() else roots
+    forget(sets, inside)
+
+    named = classes.select("digest", "least", "node").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     label = named.join(least, "root").select("digest", F.col("node").alias("class_id"), "component_id")
     empty = prints.filter("n = 0").select("id", "h", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("class_id"))
     out = prints.filter("n > 0").select("id", "h", "n", "digest").join(label, "digest").select("id", "h", "n", "component_id", "class_id").unionByName(empty)
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"), "class_id", F.col("h").alias("row_key"))
+    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id", F.col("h").alias("row_key"))
 
 
 def query(spark, sf: str) -> DataFrame:

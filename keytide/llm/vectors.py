@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from keytide.llm.common import cut, forget, small_batches, table
-from keytide.llm.graph import components
+from keytide.llm.graph import components, deal, spanning_forest
 from keytide.llm.near_dups import mix
 
 M, WINDOW, TILE = 32, 0.45, 1024
@@ -117,25 +117,6 @@ def collisions(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return count
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of links among a few nodes."""
-    up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        r, s = root(x), root(y)
-        if r != s:
-            up[max(r, s)] = min(r, s)
-            out.append((x, y))
-    return out
-
-
 class _Tile:
     """The rows of one pair of blocks of a cell."""
 
@@ -168,7 +149,7 @@ class _Tile:
                 got = np.bincount(a, weights=mass[b], minlength=len(node)) + np.bincount(b, weights=mass[a], minlength=len(node))
                 for i in np.flatnonzero(got):
                     links[int(node[i])] = links.get(int(node[i]), 0) + int(got[i])
-                edges += _forest(node[a], node[b])
+                edges += spanning_forest(node[a], node[b])
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], **how) -> Iterator[pa.RecordBatch]:
@@ -216,9 +197,7 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, vec_id: str = "vec
     keyed = cut(classes.select("node", "v", "label_key").mapInArrow(partial(_keys, bits=bits, tables=tables, seed=seed), "node long, keys array<long>"))
     placed = keyed.select("node", F.posexplode("keys").alias("t", "key"))
     blocks = placed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key", F.ceil(F.col("c") / TILE).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = placed.join(blocks, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "t", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "node")
+    dealt = deal(placed.join(blocks, "key"), "node", "t")
     tiles = dealt.join(classes.select("node", "n", "v"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     found = cut(tiles.mapInArrow(partial(_tiles, cosine=cosine, least=least, bits=bits, tables=tables, seed=seed), _OUT))
 

@@ -78,3 +78,23 @@ def test_sketch_is_filled_and_estimates_similarity():
 
 def test_empty_table(spark):
     assert run(spark, [], 4) == []
+
+
+def test_intersections():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(0, 200)).astype(np.uint64)) for _ in range(30)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[12:]] for a in sets[:12]]
+    assert (N.intersections(sets[:12], sets[12:], width=64) == want).all()
+    assert (N.intersections([sets[0]], [sets[0][:0]]) == 0).all()
+
+
+def test_small_tiles(spark, monkeypatch):
+    monkeypatch.setattr(N, "TILE", 16)
+    test_large_group_of_near_copies(spark)
+
+
+def test_null_ids(spark):
+    rows = [(None, "a b c d e"), (5, "a b c d e"), (None, "q r s t u"), (None, "")]
+    df = spark.createDataFrame([(d, t, "x", 1, "y") for d, t in rows], SCHEMA)
+    got = sorted((tuple(r) for r in N.near_dups(df, shingle=4).select("doc_id", "n_shingles", "component_id", "kept").collect()), key=repr)
+    assert got == sorted([(None, 2, 5, False), (5, 2, 5, True), (None, 2, None, True), (None, 0, None, True)], key=repr)
