@@ -8,6 +8,7 @@ rank and longer, is suppressed.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 #: What the labels' confidence is, by rank.
@@ -18,7 +19,7 @@ apache-2.0 | 3 | apache license version 2( 0)? ; apache (software )?license v?2(
 apache-1.1 | 3 | apache (software )?license version 1 1 ; apache org licenses license 1 1 ; apache 1 1 license
 apache-1.0 | 3 | apache (software )?license version 1 0 ; apache org licenses license 1 0
 apache | 2 | apache (software )?license ; apache software foundation license
-mit | 3 | (the )?mit license( mit)? ; released under (the )?mit ; licensed under (the )?mit( license)? ; mit licensed? ; opensource org licenses mit ; expat license
+mit | 3 | (the )?mit license( mit)? ; released under (the )?mit ; licensed under (the )?mit( license)? ; mit licensed ; opensource org licenses mit ; expat license
 mit | 2 | permission is hereby granted free of charge to any person obtaining a copy of this software ; without restriction including without limitation the rights to use copy modify merge publish distribute
 mit-0 | 3 | mit no attribution( license)? ; mit 0 license
 x11 | 3 | x11 license ; mit x11 license ; x consortium license
@@ -200,8 +201,9 @@ class Rule(NamedTuple):
 
 
 def keyword(pattern: str) -> str:
-    """The longest run of plain characters outside groups, classes and what is optional."""
+    """The longest run of plain characters outside groups, classes and what is optional; a pattern stands between spaces."""
     runs, run, depth, skip = [], "", 0, ""
+    pattern = f" {pattern} "
     for i, ch in enumerate(pattern):
         if skip:
             skip = "" if ch == skip else skip
@@ -214,7 +216,7 @@ def keyword(pattern: str) -> str:
             runs.append(run)
             run = ""
         skip = {"[": "]", "{": "}"}.get(ch, "")
-    return max([*runs, run], key=len).strip()
+    return max([*runs, run], key=len)
 
 
 def rules() -> list[Rule]:
@@ -227,15 +229,28 @@ def rules() -> list[Rule]:
     return [Rule(i, label, rank, keyword(p), f"(?<= )(?:{p})(?= )") for i, (label, rank, p) in enumerate(out)]
 
 
+#: Words too frequent in any text to sort texts by.
+_EVERYDAY = set("the and use under org tion right rights ware later clause public software version any for general free open terms code source same copy permission beer free is of to in a me you it its this".split())
+
+
 def gates(keywords: list[str]) -> list[str]:
-    """A few strings of which each keyword contains one, chosen greedily: a text without any of them can be left alone."""
-    left, out = set(keywords), []
+    """A few strings of which each keyword contains one, chosen greedily among whole words and runs of words (and
+    the keywords themselves): a text without any of them can be left alone."""
+
+    def parts(k: str) -> set[str]:
+        w = [m.span() for m in re.finditer(r"\S+", k)]
+        runs = {k[a:b] for i, (a, _) in enumerate(w) for _, b in w[i : i + 3]}
+        stems = {k[a : min(b, a + 5)] for a, b in w if b - a >= 5}
+        return {k} | {x for x in runs | stems if not set(x.split()) <= _EVERYDAY and len(x) >= 4}
+
+    of = {k: parts(k) for k in set(keywords)}
+    left, out = set(of), []
     while left:
-        parts: dict[str, int] = {}
+        count: dict[str, int] = {}
         for k in left:
-            for x in {k[i:j] for i in range(len(k)) for j in range(i + 1, len(k) + 1) if j - i >= min(len(k), 5)}:
-                parts[x] = parts.get(x, 0) + 1
-        best = max(parts, key=lambda x: (parts[x], len(x), x))
+            for x in of[k]:
+                count[x] = count.get(x, 0) + 1
+        best = max(count, key=lambda x: (count[x] if len(x) >= 5 else count[x] / 2, len(x), x))
         out.append(best)
         left = {k for k in left if best not in k}
     return sorted(out)

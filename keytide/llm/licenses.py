@@ -27,6 +27,11 @@ def _normal(words: Column) -> Column:
     return F.concat(F.lit(" "), F.concat_ws(" ", words), F.lit(" "))
 
 
+def _once(x: Column) -> Column:
+    """The same value as the output of a generator, below which the optimizer doesn't copy its expression into each use."""
+    return F.explode(F.array(x))
+
+
 def _any(norm: Column, parts: list[str]) -> Column:
     out = norm.contains(parts[0])
     for p in parts[1:]:
@@ -55,13 +60,17 @@ def base_places(norm: Column, n_words: Column, phrases: dict[str, str]) -> Colum
 
 def detections(docs: DataFrame, signatures: list[Rule], doc_id: str, text: str) -> DataFrame:
     """id, h, start, stop (in words), label, rank, rule: what is left after suppression."""
-    table_of_rules = F.array(*[F.struct(F.lit(r.number).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.rank).alias("rank"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern")) for r in signatures])
-    norm = docs.select(F.col(doc_id).alias("id"), row_key(F.col(text)).alias("h"), _normal(alnum_words(F.col(text))).alias("norm"))
-    some = norm.filter(_any(F.col("norm"), gates([r.keyword for r in signatures])))
-    tried = some.select("id", "h", "norm", F.explode(F.filter(table_of_rules, lambda r: F.contains(F.col("norm"), r["keyword"]))).alias("r"))
+    doors = gates([r.keyword for r in signatures])
+    door = [next(i for i, g in enumerate(doors) if g in r.keyword) for r in signatures]
+    fields = ("rule", "label", "rank", "keyword", "pattern", "door")
+    table_of_rules = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(fields, (*r, d), strict=True)]) for r, d in zip(signatures, door, strict=True)])
+    norm = docs.select(F.col(doc_id).alias("id"), row_key(F.col(text)).alias("h"), _once(_normal(alnum_words(F.col(text)))).alias("norm"))
+    some = norm.filter(_any(F.col("norm"), doors)).select("id", "h", "norm", _once(F.transform(F.array(*map(F.lit, doors)), lambda g: F.contains(F.col("norm"), g))).alias("open"))
+    fits = F.filter(table_of_rules, lambda r: F.get(F.col("open"), r["door"]) & F.contains(F.col("norm"), r["keyword"]))
+    tried = some.select("id", "h", "norm", F.explode(fits).alias("r")).filter(F.rlike("norm", F.col("r.pattern")))
     cut = tried.select("id", "h", "r.rule", "r.label", "r.rank", F.regexp_extract_all("norm", F.col("r.pattern"), F.lit(0)).alias("m"), F.split("norm", F.col("r.pattern"), -1).alias("between"))
     gaps = F.transform(F.col("m"), lambda x, i: F.struct(_spaces(F.get(F.col("between"), i)).alias("gap"), _spaces(x).alias("inner")))
-    one = cut.filter(F.size("m") > 0).select("id", "h", "rule", "label", "rank", F.posexplode(gaps).alias("i", "x"))
+    one = cut.select("id", "h", "rule", "label", "rank", F.posexplode(gaps).alias("i", "x"))
     # rows that repeat an id and its text give the same matches: they count once
     one = one.groupBy("id", "h", "rule", "label", "rank", "i").agg(F.min("x.gap").alias("gap"), F.min("x.inner").alias("inner"))
     in_rule = Window.partitionBy("id", "h", "rule").orderBy("i")
@@ -79,7 +88,7 @@ def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     (sorted arrays), score, detections (start, stop, label, rank, rule; by start)."""
     signatures = rules() if signatures is None else signatures
     words = docs.select(F.col(doc_id).alias("id"), row_key(F.col(text)).alias("h"), alnum_words(F.col(text)).alias("w"))
-    norm = words.select("id", "h", F.size("w").alias("n"), _normal(F.col("w")).alias("norm"))
+    norm = words.select("id", "h", F.size("w").alias("n"), _once(_normal(F.col("w"))).alias("norm"))
     plain = norm.select("id", "h", "n", base_places(F.col("norm"), F.col("n"), BASE if base is None else base).alias("b"))
     score = F.max(F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv])[F.col("rank")])
     found = detections(docs, signatures, doc_id, text).groupBy(F.col("id").alias("id2"), F.col("h").alias("h2")).agg(
