@@ -11,7 +11,7 @@ follow extreme-value statistics in clean text: the expected number of segments o
 K n exp(-lambda s), with lambda the positive root of the clean texts' score distribution and K = 1, an upper
 bound. A segment with an expectation of at most ``MAX_E`` is a passage. The evidence of a text is the
 largest -log10 p of its best 1, 2, 3, ... segments together (Karlin and Altschul's sum statistics); a
-logistic curve fitted on the training rows makes it a score from 0 to 1.
+logistic curve fitted on the training rows makes it, up to ``MOST``, a score from 0 to 1.
 
 Fitting uses at most about ``max_rows`` labelled texts, chosen by a hash of their ids, each distinct text
 once; the model has at most ``max_features`` features. Scoring reads nothing but the text. Null and empty texts have
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from keytide.llm.common import cut, forget, small_batches, table
 
-PRIOR, MIN_Z, LOWER, CAP, MAX_E = 0.03, 2.3, 1.25, 8.0, 1e-3
+PRIOR, MIN_Z, LOWER, CAP, MAX_E, MOST = 0.03, 2.3, 1.25, 8.0, 1e-3, 10.0
 _WORDS = re.compile(r"[^\W\d_]+")
 _TYPE = "score double, evidence double, starts array<int>, stops array<int>, scores array<double>"
 
@@ -94,7 +94,7 @@ class Model:
         return best
 
     def probability(self, evidence: float) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * math.log1p(evidence) + self.offset))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * math.log1p(min(evidence, MOST)) + self.offset))))
 
 
 class _Weights(dict):
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     model.drift = min(-1e-3, math.log((1 - share_t) / (1 - share_c)))
     model.rate = _rate([(model.weights[r.feature], (r.c + PRIOR * (r.t + r.c) * C / (T + C)) / C) for r in roots], model.drift)
     pairs = rows.select("y", scorer(model)("text")["evidence"].alias("e")).collect()
-    model.slope, model.offset = _logistic(np.log1p([p.e for p in pairs]), np.array([p.y for p in pairs], float))
+    model.slope, model.offset = _logistic(np.log1p([min(p.e, MOST) for p in pairs]), np.array([p.y for p in pairs], float))
     forget(rows, counts)
     return model
 
