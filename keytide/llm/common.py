@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -78,3 +79,15 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -
     """Bound what Arrow hands to a Python worker at once, as texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def chunks(texts: list, most: int = 2 << 20) -> Iterator[slice]:
+    """Runs of texts of about ``most`` characters, to bound what is made of them at once."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= most:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))

@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from keytide.llm.common import cut, forget, row_key, small_batches, table
+from keytide.llm.common import chunks, cut, forget, row_key, small_batches, table
 from keytide.llm.graph import components, deal, spanning_forest
 
 T, BANDS, ROWS = 160, 32, 5
@@ -107,18 +107,6 @@ def band_keys(sk: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _chunks(texts: list, most: int = 2 << 20) -> Iterator[slice]:
-    """Runs of texts of about ``most`` characters, to bound the arrays made at once."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0] + [len(p) for p in parts])
     flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
@@ -128,7 +116,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 def _fingerprint(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column("text").to_pylist()
-        for at in _chunks(texts):
+        for at in chunks(texts):
             sets = shingle_sets(texts[at], k)
             keys = band_keys(sketches(sets))
             yield pa.RecordBatch.from_arrays(
@@ -146,7 +134,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Recor
 def _full_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column("text").to_pylist()
-        for at in _chunks(texts):
+        for at in chunks(texts):
             yield pa.RecordBatch.from_arrays([b.column("node")[at], _lists(shingle_sets(texts[at], k))], names=["node", "shingles"])
 
 

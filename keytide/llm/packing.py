@@ -31,8 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from keytide.llm.common import cut, forget, row_key, small_batches, table
-from keytide.llm.near_dups import _chunks
+from keytide.llm.common import chunks, cut, row_key, small_batches, table
 
 
 class Encoder:
@@ -86,7 +85,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, end: int, tokens:
     encode, part, seen = encoder(**tokens), TaskContext.get().partitionId(), Counter()
     for b in batches:
         texts = b.column("text").to_pylist()
-        for at in _chunks(texts, 4 << 20):
+        for at in chunks(texts, 4 << 20):
             rows: list[tuple] = []
             for i, t in enumerate(texts[at], at.start):
                 ids = np.append(encode(t or ""), np.uint32(end)).astype("<u4")

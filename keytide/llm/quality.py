@@ -7,7 +7,7 @@ in proportion to w^(1/temperature) by Gumbel top-k: the k largest log w / temper
 noise being a hash of the row. By default k is the number of rows at least as heavy as the threshold that best
 separates labelled good and bad rows.
 
-Tokens are lower-case words and runs of the same sign; marks for capitals and for a repeat of the token
+Tokens are lower-case words and runs of signs; marks for capitals and for a repeat of the token
 before make shouting and loops visible to bags of n-grams. Counts of n-grams cover the whole corpus: a
 histogram of fixed size from each task, summed by bucket. The target is fitted on about ``max_rows`` labelled
 rows at most. The k-th largest key is found by counting in ever finer bins, exactly; rows equal to it all stay.
@@ -22,17 +22,16 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from keytide.llm.common import cut, forget, row_key, small_batches, table
+from keytide.llm.common import chunks, cut, forget, row_key, small_batches, table
 from keytide.llm.toxicity import labelled
 
 BUCKETS, MARKS = 10_000, 16
-_TOKENS = re.compile(r"\w+|([^\w\s])\1*")
+_TOKENS = re.compile(r"\w+|[^\w\s]+")
 _CAPS, _REPEAT = 1, 2
 _SCALE = np.int64(0x9E3779B1)
 
@@ -53,7 +52,7 @@ _ids = _Ids()
 
 def ngrams(text: str | None) -> np.ndarray:
     """The buckets of a text's n-grams: marks first have buckets of their own, then unigrams and bigrams."""
-    found = [m[0] for m in _TOKENS.finditer(text)] if text else []
+    found = _TOKENS.findall(text) if text else []
     if not found:
         return np.zeros(0, np.int64)
     v = np.fromiter(map(_ids.__getitem__, found), np.int64, len(found))
@@ -68,11 +67,12 @@ def ngrams(text: str | None) -> np.ndarray:
 def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for b in batches:
-        for t, y in zip(b.column("text"), b.column("y").to_pylist(), strict=True):
-            got = np.bincount(ngrams(t.as_py()), minlength=BUCKETS)
-            raw += got
-            if y == 1:
-                target += got
+        texts, good = b.column("text").to_pylist(), [y == 1 for y in b.column("y").to_pylist()]
+        for at in chunks(texts):
+            got = [ngrams(t) for t in texts[at]]
+            raw += np.bincount(np.concatenate(got), minlength=BUCKETS)
+            if some := [g for g, y in zip(got, good[at], strict=True) if y]:
+                target += np.bincount(np.concatenate(some), minlength=BUCKETS)
     at = np.flatnonzero(raw)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 

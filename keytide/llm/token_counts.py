@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 from functools import lru_cache
 
 import pyarrow as pa
@@ -24,7 +25,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from keytide.llm.common import small_batches, table
 
-OFFSET, MOST_NODES, MOST_WORDS = 10.0, 400_000, 300_000
+OFFSET, MOST_NODES, MOST_WORDS = 10.0, 500_000, 500_000
+#: White space as the vocabulary's pattern knows it: not the four information separators.
+_CHUNKS = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|\s+")
 
 
 def load_pieces(path: str) -> dict[bytes, float]:
@@ -83,28 +86,30 @@ class Trie:
         return best
 
 
-class Counter:
-    """Counts of pre-tokens met so far, up to a bound, over one trie."""
+class Counter(dict):
+    """Counts of chunks met so far, up to a bound, over one trie.
+
+    A chunk is white space and what follows it up to the next white space. No pre-token goes on from anything else
+    into white space, so chunks can be split into pre-tokens one by one. A value holds pre-tokens and tokens."""
 
     def __init__(self, ranks: str, pattern: str):
-        self.trie, self.split, self.known = Trie(load_pieces(ranks)), regex.compile(pattern), {}
+        self.trie, self.split = Trie(load_pieces(ranks)), regex.compile(pattern)
+
+    def __missing__(self, chunk: str) -> int:
+        if len(self) > MOST_WORDS:
+            self.clear()
+        if self.trie.nodes > MOST_NODES:
+            self.trie.clear()
+        words = self.split.findall(chunk)
+        v = (sum(self.trie.count(w.encode("utf-8", "surrogatepass")) for w in words) << 32) + len(words)
+        if len(chunk) <= 200:
+            self[chunk] = v
+        return v
 
     def __call__(self, text: str | None) -> tuple[int, int]:
         """(pre-tokens, tokens)"""
-        if not text:
-            return 0, 0
-        words, known, total = self.split.findall(text), self.known, 0
-        for w in words:
-            n = known.get(w)
-            if n is None:
-                if len(known) > MOST_WORDS or self.trie.nodes > MOST_NODES:
-                    known.clear()
-                    self.trie.clear()
-                n = self.trie.count(w.encode("utf-8", "surrogatepass"))
-                if len(w) <= 200:
-                    known[w] = n
-            total += n
-        return len(words), total
+        both = sum(map(self.__getitem__, _CHUNKS.findall(text))) if text else 0
+        return both & 0xFFFFFFFF, both >> 32
 
 
 @lru_cache(maxsize=2)

@@ -3,8 +3,9 @@
 Model. Features are a word and its initial 3 to 6 letters, so that inflected and coined forms share
 evidence. A feature's weight is the log-odds of its document frequencies in toxic and other labelled
 texts under an informative Dirichlet prior (the background frequencies, ``PRIOR`` of their mass), less one
-deviation and a quarter; features whose log-odds aren't ``MIN_Z`` deviations above zero are left out. A word counts by
-its most specific feature in the model. Every other word costs the log-odds of "no feature".
+deviation and a quarter; features whose log-odds aren't ``MIN_Z`` deviations above zero are left out. A token (what
+stands between white space) counts by its best word, a word by its most specific feature in the model. Every other token costs the
+log-odds of "no feature".
 
 Search. One linear scan finds all maximal scoring segments of a text (Ruzzo and Tompa). Their scores
 follow extreme-value statistics in clean text: the expected number of segments of score s in n words is
@@ -37,8 +38,8 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _TYPE = "score double, evidence double, starts array<int>, stops array<int>, scores array<double>"
 
 
-def words(text: str | None) -> list[str]:
-    return _WORDS.findall(text.lower()) if text else []
+def words(token: str) -> list[str]:
+    return _WORDS.findall(token.lower())
 
 
 def features(word: str) -> list[str]:
@@ -77,8 +78,10 @@ class Model:
     slope: float = 1.0
     offset: float = -3.0
 
-    def weight_of(self, word: str) -> float:
-        return next((w for f in reversed(features(word)) if (w := self.weights.get(f)) is not None), 0.0)
+    def weight_of(self, token: str) -> float:
+        """The largest weight of a word in a token, each word's being that of its most specific feature; 0 without any."""
+        found = (next((w for f in reversed(features(word)) if (w := self.weights.get(f)) is not None), 0.0) for word in words(token))
+        return max(found, default=0.0)
 
     def evidence(self, n: int, found: list[tuple[int, int, float]]) -> float:
         """The largest -log10 p over the best r segments together."""
@@ -98,15 +101,15 @@ class Model:
 
 
 class _Weights(dict):
-    """Weights of words met so far, up to a bound."""
+    """Weights of tokens met so far, up to a bound."""
 
     def __init__(self, model: Model):
         self.model = model
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, token: str) -> float:
         if len(self) > 300_000:
             self.clear()
-        w = self[word] = self.model.weight_of(word)
+        w = self[token] = self.model.weight_of(token)
         return w
 
 
@@ -118,7 +121,7 @@ def scorer(model: Model) -> Column:
     def score(texts: pa.Array) -> pa.Array:
         rows = []
         for t in texts:
-            w = words(t.as_py())
+            w = (t.as_py() or "").split()
             values = np.fromiter(map(seen.__getitem__, w), np.float64, len(w))
             at = np.flatnonzero(values)
             found = segments(at, values[at], model.drift) if len(at) else []
@@ -136,7 +139,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         counts = {0: Counter(), 1: Counter()}
         for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
-            distinct = set(words(text))
+            distinct = {w for token in set(text.split()) for w in words(token)}
             counts[y].update({f for w in distinct for f in features(w)})
             counts[y][""] += len(distinct)
         names = list(counts[0].keys() | counts[1].keys())
@@ -213,7 +216,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", into: str = "toxicity") -> DataFrame:
-    """``docs`` with a struct column of score, evidence and passages (in words)."""
+    """``docs`` with a struct column of score, evidence and passages (in tokens between white space)."""
     small_batches(docs.sparkSession)
     return docs.withColumn(into, scorer(model)(F.col(text)))
 

@@ -50,6 +50,15 @@ def test_dropping_the_trie_changes_nothing(monkeypatch):
     assert N.Counter(*args)(text) == want
 
 
+def test_chunks_never_cut_a_pretoken():
+    rng, c = random.Random(9), N.Counter(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    bits = [" ", "\n", "\t", "a", "b's", "!", "1", "é", "\x1c", "\x85", "\xa0", "\u3000", "'ll", "_", "\r\n"]
+    for _ in range(3000):
+        text = "".join(rng.choices(bits, k=rng.randrange(12)))
+        words = c.split.findall(text)
+        assert c(text) == (len(words), sum(c.trie.count(w.encode()) for w in words)), repr(text)
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, 1), (2, "", 1), (2, "a" * 30_000, 1), (2, "a", 1), (None, "\x00é", 1)], "doc_id long, text string, n_tokens int")
     out = [(r.doc_id, len(r.text or ""), r.tokens.n_tokens) for r in N.count_tokens(df).collect()]
