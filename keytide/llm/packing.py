@@ -172,7 +172,8 @@ class _Shelf:
                 found.append((first, *got))
             ones = np.flatnonzero(self.n[1:room])[::-1] + 1
             if not found:
-                for c in ones[:48]:
+                shortest = int(ones[-1]) if len(ones) else 0
+                for c in ones[ones <= room - 2 * shortest][:: 1 + len(ones) // 250]:
                     if got := self.pair(room - int(c), int(c)):
                         found.append((first, int(c), *got))
                         break
