@@ -9,8 +9,9 @@ the depth-first walk of a tree, and each node's text is emitted once. The output
 ``block_chars`` characters: the text of the walk; for each node its span, its parent, the position
 its first character has in its conversations, the span under the loss mask (the text of an assistant's turn)
 and the spans of its ancestors, joined where they touch, which is what it may attend to besides itself; and
-the last node of each conversation. Positions and spans count code points; a tokenizer that never
-merges across node borders keeps them valid token by token.
+the last node of each conversation. Positions and spans count code points of the text; with a vocabulary
+(``tokens``), they count ids instead, and a block has the ids too: a node's head, text and end are encoded apart, so no id
+lies across a border.
 
 The sort is by turn hashes and id, so a first turn or a whole conversation that a third of all rows share is
 spread over many tasks; it is emitted once per block. Only the first ``SORTED_TURNS`` turns take
@@ -30,13 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from keytide.llm.common import small_batches, table
+from keytide.llm.packing import Encoder, encoder
 
 START, END, SORTED_TURNS = "<|im_start|>", "<|im_end|>", 64
 _IN_TEXT, _OUT_TEXT = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
 BLOCK = (
     "block_id long, text string, starts array<int>, stops array<int>, parents array<int>, positions array<long>, loss_starts array<int>, loss_stops array<int>, "
-    "attend array<array<int>>, conv_ids array<long>, leaves array<int>"
+    "attend array<array<int>>, conv_ids array<long>, leaves array<int>, ids array<int>"
 )
 
 
@@ -57,9 +59,11 @@ def unescape_role(role: str) -> str:
 
 
 class _Block:
-    def __init__(self):
+    def __init__(self, encode: Encoder | None):
+        self.encode = encode
         self.parts: list[str] = []
-        self.size = 0
+        self.ids: list[int] = []
+        self.size = self.chars = 0
         self.cols: dict[str, list] = {k: [] for k in ("starts", "stops", "parents", "positions", "loss_starts", "loss_stops", "attend", "conv_ids", "leaves")}
         self.path: list[tuple[tuple[str, str], int]] = []  # the turns of the last conversation and their nodes
 
@@ -70,18 +74,22 @@ class _Block:
         del self.path[same:]
         c = self.cols
         for role, text in turns[same:]:
-            head, body = f"{START}{escape_role(role)}\n", escape(text)
+            pieces = [f"{START}{escape_role(role)}\n", escape(text), f"{END}\n"]
             node, parent, start = len(c["starts"]), self.path[-1][1] if self.path else -1, self.size
-            stop = start + len(head) + len(body) + len(END) + 1
-            self.parts += [head, body, END, "\n"]
-            self.size = stop
+            coded = [self.encode(p).tolist() for p in pieces] if self.encode else pieces
+            head, body, tail = map(len, coded)
+            stop = self.size = start + head + body + tail
+            self.parts += pieces
+            self.chars += sum(map(len, pieces))
+            if self.encode:
+                self.ids += [i for p in coded for i in p]
             spans = [] if parent < 0 else list(c["attend"][parent])
             if parent >= 0:
                 if spans and spans[-1] == c["starts"][parent]:
                     spans[-1] = c["stops"][parent]
                 else:
                     spans += [c["starts"][parent], c["stops"][parent]]
-            loss = (start + len(head), start + len(head) + len(body)) if role == "assistant" else (start, start)
+            loss = (start + head, start + head + body) if role == "assistant" else (start, start)
             position = c["positions"][parent] + c["stops"][parent] - c["starts"][parent] if parent >= 0 else 0
             for k, x in (("starts", start), ("stops", stop), ("parents", parent), ("positions", position), ("loss_starts", loss[0]), ("loss_stops", loss[1]), ("attend", spans)):
                 c[k].append(x)
@@ -93,22 +101,24 @@ class _Block:
 _ARROW = pa.schema(
     [("block_id", pa.int64()), ("text", pa.string())]
     + [(k, pa.list_(pa.int64() if k in ("positions", "conv_ids") else pa.list_(pa.int32()) if k == "attend" else pa.int32())) for k in ("starts", "stops", "parents", "positions", "loss_starts", "loss_stops", "attend", "conv_ids", "leaves")]
+    + [("ids", pa.list_(pa.int32()))]
 )
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], block_chars: int) -> Iterator[pa.RecordBatch]:
-    part, made, block = TaskContext.get().partitionId(), 0, _Block()
+def _blocks(batches: Iterator[pa.RecordBatch], block_chars: int, tokens: dict | None) -> Iterator[pa.RecordBatch]:
+    encode = encoder(**tokens) if tokens else None
+    part, made, block = TaskContext.get().partitionId(), 0, _Block(encode)
 
     def out() -> pa.RecordBatch:
-        row = {"block_id": (part << 32) + made, "text": "".join(block.parts), **block.cols}
+        row = {"block_id": (part << 32) + made, "text": "".join(block.parts), **block.cols, "ids": block.ids if encode else None}
         return pa.RecordBatch.from_pylist([row], _ARROW)
 
     for b in batches:
         for conv_id, turns in zip(b.column("conv_id").to_pylist(), b.column("turns").to_pylist(), strict=True):
             block.add(conv_id, [(t["role"], t["text"]) for t in turns])
-            if block.size >= block_chars or len(block.cols["conv_ids"]) >= 20_000:
+            if block.chars >= block_chars or len(block.cols["conv_ids"]) >= 20_000:
                 yield out()
-                made, block = made + 1, _Block()
+                made, block = made + 1, _Block(encode)
     if block.cols["conv_ids"]:
         yield out()
 
@@ -121,17 +131,17 @@ def conversations(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "tu
     return convs.select("conv_id", F.transform("all", lambda t: F.struct(t["role"], t["text"])).alias("turns"), F.array_join(step, "").alias("path"))
 
 
-def format_tree(turns: DataFrame, *, block_chars: int = 1 << 20, **columns) -> DataFrame:
+def format_tree(turns: DataFrame, *, block_chars: int = 1 << 20, tokens: dict | None = None, **columns) -> DataFrame:
     """Blocks of formatted text, as described above; see ``BLOCK``."""
     small_batches(turns.sparkSession)
     convs = conversations(turns, **columns).withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = convs.repartitionByRange(parts, "path", "conv_id").sortWithinPartitions("path", "conv_id").select("conv_id", "turns")
-    return ordered.mapInArrow(partial(_blocks, block_chars=block_chars), BLOCK)
+    return ordered.mapInArrow(partial(_blocks, block_chars=block_chars, tokens=tokens), BLOCK)
 
 
 def read_block(row: dict) -> Iterator[tuple[int, str, str]]:
-    """(conv_id, its formatted text, all its text under the loss mask) from a block alone."""
+    """(conv_id, its formatted text, all its text under the loss mask) from a block alone, made without ``tokens``."""
     text, last = row["text"], None
     chain: list[int] = []
     for conv_id, leaf in zip(row["conv_ids"], row["leaves"], strict=True):

@@ -4,6 +4,7 @@ import random
 from hypothesis import given, settings, strategies as st
 
 from keytide.llm import chat as C
+from keytide.llm.packing import Encoder, public_encoder
 
 SCHEMA = "conv_id long, turn long, role string, text string, path string, turns int"
 BITS = ["<|im_end|>", "<|im_start|>", "<", "|", "\\", "\n", "assistant", "é", "a", "<\\|", "<\\\\|im_end|>", "😀", ""]
@@ -65,6 +66,20 @@ def test_round_trip_and_sharing(spark):
         assert len(siblings) == len(set(siblings))
 
 
+def test_ids_follow_the_text(spark):
+    rows = [r for r in make(3, 40) if r[0] % 3 == 0]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    text = {c: f for r in C.format_tree(df).collect() for c, f, _ in C.read_block(r.asDict())}
+    own = Encoder(**public_encoder())
+    for r in C.format_tree(df, tokens=public_encoder()).collect():
+        assert r.stops[-1] == len(r.ids)
+        for conv_id, leaf in zip(r.conv_ids, r.leaves):
+            spans = [*r.attend[leaf], r.starts[leaf], r.stops[leaf]]
+            ids = [i for a, b in zip(spans[::2], spans[1::2]) for i in r.ids[a:b]]
+            assert own.slow.decode(ids, skip_special_tokens=False) == text[conv_id]
+            assert r.positions[leaf] + r.stops[leaf] - r.starts[leaf] == len(ids)
+
+
 def test_query_and_empty(spark):
     assert C.digests(C.format_tree(spark.createDataFrame([], SCHEMA))).count() == 0
     out = {r.conv_id: r for r in C.query(spark, "/root/testdata/sf0.001").collect()}
