@@ -15,6 +15,7 @@ longest piece. Null and empty texts have no tokens.
 from __future__ import annotations
 
 import base64
+import gc
 import math
 import re
 from functools import lru_cache
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from keytide.llm.common import small_batches, table
 
-OFFSET, MOST_NODES, MOST_WORDS = 10.0, 500_000, 500_000
+OFFSET, MOST_NODES, MOST_WORDS = 10.0, 800_000, 500_000
 #: White space as the vocabulary's pattern knows it: not the four information separators.
 _CHUNKS = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|\s+")
 
@@ -39,51 +40,47 @@ def load_pieces(path: str) -> dict[bytes, float]:
 
 
 class Trie:
-    """Forward scores of byte strings, shared by what they have in common at their beginning."""
+    """Forward scores of byte strings, shared by what they have in common at their beginning.
+
+    A node is (children, best score, tokens of that segmentation)."""
 
     def __init__(self, pieces: dict[bytes, float]):
         self.pieces = pieces
-        # pieces by their reversed bytes: from a node, they are read backwards along the path
+        # pieces by their reversed bytes, (children, score or None): from a node, they are read backwards along the path
         self.ends: dict = {}
         for p, s in pieces.items():
             at = self.ends
-            for b in reversed(p):
-                at = at.setdefault(b, {})
-            at[-1] = s
+            for b in p[:0:-1]:
+                at = at.setdefault(b, ({}, None))[0]
+            at[p[0]] = (at.get(p[0], ({},))[0], s)
         self.clear()
 
     def clear(self) -> None:
         self.root: dict = {}
         self.nodes = 0
-        self.visits = 0
 
     def count(self, word: bytes) -> int:
         """The number of tokens; adds nodes for what of the word is new."""
-        at, node, scores = self.root, None, [(0.0, 0)]
+        at, best, tokens = self.root, [0.0], [0]
         for i, b in enumerate(word):
             node = at.get(b)
             if node is None:
-                node = at[b] = ({}, self._forward(word, i, scores))
+                top, least, ends = -math.inf, 0, self.ends
+                for j in range(i, -1, -1):
+                    piece = ends.get(word[j])
+                    if piece is None:
+                        break
+                    ends, s = piece
+                    if s is not None:
+                        s += best[j]
+                        if s > top or (s == top and tokens[j] < least):
+                            top, least = s, tokens[j]
+                node = at[b] = ({}, top, least + 1)
                 self.nodes += 1
-            scores.append(node[1])
-            at = node[0]
-        return -scores[-1][1]
-
-    def _forward(self, word: bytes, i: int, scores: list[tuple[float, int]]) -> tuple[float, int]:
-        """(best score, minus its tokens) of word[: i + 1], from those of the shorter beginnings."""
-        self.visits += 1
-        best, ends = (-math.inf, 0), self.ends
-        for j in range(i, -1, -1):
-            ends = ends.get(word[j])
-            if ends is None:
-                break
-            s = ends.get(-1)
-            if s is not None:
-                before = scores[j]
-                new = (before[0] + s, before[1] - 1)
-                if new > best:
-                    best = new
-        return best
+            at, s, n = node
+            best.append(s)
+            tokens.append(n)
+        return tokens[-1]
 
 
 class Counter(dict):
@@ -127,7 +124,13 @@ def token_counter(ranks: str | None = None, pattern: str | None = None) -> Colum
     @F.arrow_udf("n_pretokens long, n_tokens long")
     def count(texts: pa.Array) -> pa.Array:
         of = counter(ranks, pattern)
-        got = [of(t.as_py()) for t in texts]
+        # a trie has no cycles: looking for some among its many nodes takes longer than building it
+        gc.disable()
+        try:
+            got = [of(t.as_py()) for t in texts]
+        finally:
+            gc.freeze()
+            gc.enable()
         return pa.StructArray.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], names=["n_pretokens", "n_tokens"])
 
     return count
