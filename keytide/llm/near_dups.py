@@ -243,3 +243,13 @@ def near_dups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_id: s
 
 def query(spark, sf: str) -> DataFrame:
     return near_dups(table(spark, sf, "documents"), shingle=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS sh FROM d WHERE len(w) > 0),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+ l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 80 * (nx.n + ny.n - i)),
+ r(doc_id, m) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.x, r.m FROM l JOIN r ON r.doc_id = l.y),
+ c AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id)
+ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""

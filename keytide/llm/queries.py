@@ -25,5 +25,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The others hold learned models, tokenizers, projections or components: tests hold them against brute force."""
-    return {"op2_decontaminate": decontaminate.SQL}
+    """The others hold learned models, tokenizers, checksums or rules that SQL can't express: tests hold them against brute force."""
+    return {"op2_decontaminate": decontaminate.SQL, "op4_near_dups": near_dups.SQL, "op8_near_vectors": vectors.SQL}

@@ -214,3 +214,13 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, vec_id: str = "vec
 
 def query(spark, sf: str) -> DataFrame:
     return near_vectors(table(spark, sf, "embeddings"))
+
+
+#: All pairs, which the operator doesn't compare; on the test tables it finds every link.
+SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+ r(vec_id, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.x, r.m FROM l JOIN r ON r.vec_id = l.y),
+ c AS (SELECT vec_id, min(m) AS component_id FROM r GROUP BY vec_id),
+ n AS (SELECT x AS vec_id, count(*) AS n_links FROM l GROUP BY x)
+ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
