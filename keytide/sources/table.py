@@ -176,6 +176,15 @@ class KVTable:
         finally:
             self.log.fs.delete(self.log._path(stage), True)
 
+    def load_changelog(self, log: DataFrame) -> int:
+        """Take over a changelog that has its sequence numbers, into a table without any rows; returns the last number."""
+        self._ready()
+        if self._files or self._buffer:
+            raise RuntimeError("the table isn't empty")
+        self.next_seq = max(self.next_seq, (log.agg(F.max("seq")).first()[0] or 0) + 1)
+        self._add(log.select("key", "seq", "op", "value"), level=0)
+        return self.next_seq - 1
+
     def flush(self) -> None:
         """Make buffered records durable as one commit."""
         if self._buffer:
