@@ -26,8 +26,8 @@ ORACLE_SQL = None
 
 def _only(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id and text ``decided`` (doc_id, row_key) holds."""
-    d = decided.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
-    return docs.join(d, F.col("doc_id").eqNullSafe(F.col("_id")) & (row_key(F.col("text")) == F.col("_key")), "left_semi")
+    d = decided.select(F.col("doc_id").alias("_decided_id"), F.col("row_key").alias("_decided_key"))
+    return docs.join(d, F.col("doc_id").eqNullSafe(F.col("_decided_id")) & (row_key(F.col("text")) == F.col("_decided_key")), "left_semi")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

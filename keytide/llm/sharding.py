@@ -15,7 +15,7 @@ by their place in the input; the order of all others depends on nothing but the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keytide.llm.common import cut, forget, row_key, table
 
@@ -34,13 +34,14 @@ def _rank_in_buckets(rows: DataFrame, by: list[str], bucket: str, order: list, i
     return rows.withColumn("_r", inside).join(starts, [*by, bucket]).withColumn(into, F.col("_start") + F.col("_r")).drop("_r", "_start", bucket)
 
 
-def interleave(docs: DataFrame, shards: int, *, seed: int = 0, source: str = "source", doc_id: str = "doc_id", text: str = "text", per_bucket: int = 4096) -> DataFrame:
+def interleave(docs: DataFrame, shards: int, *, seed: int = 0, source: str = "source", doc_id: str = "doc_id", text: str = "text", per_bucket: int = 4096, key: Column | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, size (UTF-8 bytes and 1), text_crc32, source, rank (in the
-    whole order, from 0), shard, slot (place in the shard, from 0), row_key."""
+    whole order, from 0), shard, slot (place in the shard, from 0), row_key (``key``,
+    by default a hash of the text: with the id, what tells rows apart)."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     light = docs.select(
         F.col(doc_id).alias("id"), F.struct(F.col(source).isNull().alias("none"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("name")).alias("s"),
-        (F.length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("crc"), row_key(F.col(text)).alias("key"),
+        (F.length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("crc"), (row_key(F.col(text)) if key is None else key).alias("key"),
     )
     light = cut(light.withColumn("tie", F.monotonically_increasing_id()))
     # rows alike in id and text would share a hash, and many of them a bucket: their place in the input spreads them
@@ -71,14 +72,15 @@ def interleave(docs: DataFrame, shards: int, *, seed: int = 0, source: str = "so
 
 def write_shards(docs: DataFrame, path: str, shards: int, *, doc_id: str = "doc_id", text: str = "text", files: int = 16, **options) -> DataFrame:
     """Write ``docs`` as folders shard=0, 1, ..., each in slot order over ``files`` files of consecutive slots, and
-    return the placement. Rows that share id and text are told apart by a running number on both sides."""
-    at = interleave(docs, shards, doc_id=doc_id, text=text, **options)
+    return the placement. Rows alike in all columns are interchangeable: one of them is joined with all their places,
+    so however many they are, they meet in no task. Columns shard and slot of ``docs`` give way to the new ones."""
+    docs = docs.drop("shard", "slot")
+    key = F.xxhash64(*docs.columns)
+    at = interleave(docs, shards, doc_id=doc_id, text=text, key=key, **options)
     per = at.groupBy("shard").agg(F.count("*").alias("per"))
-    twin = lambda df, keys: df.withColumn("_twin", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
-    a = twin(at.join(per, "shard").select(F.col(doc_id).alias("_id"), F.col("row_key").alias("_key"), "shard", "slot", "per"), ["_id", "_key"])
-    d = twin(docs.withColumn("_id", F.col(doc_id)).withColumn("_key", row_key(F.col(text))), ["_id", "_key"])
-    same = F.expr("d._id <=> a._id and d._key = a._key and d._twin = a._twin")
-    rows = d.alias("d").join(a.alias("a"), same).select("d.*", "a.shard", "a.slot", F.floor(F.col("a.slot") * files / F.col("a.per")).alias("_file")).drop("_id", "_key", "_twin")
+    place = at.join(F.broadcast(per), "shard").select(F.col(doc_id).alias("_id"), F.col("row_key").alias("_key"), "shard", "slot", F.floor(F.col("slot") * files / F.col("per")).alias("_file"))
+    one = docs.withColumn("_key2", key).dropDuplicates([doc_id, "_key2"])
+    rows = place.join(one, F.col("_id").eqNullSafe(F.col(doc_id)) & (F.col("_key") == F.col("_key2"))).select(*docs.columns, "shard", "slot", "_file")
     rows.repartition(shards * files, "shard", "_file").sortWithinPartitions("shard", "slot").drop("_file").write.partitionBy("shard").parquet(path)
     return at
 

@@ -99,8 +99,8 @@ def test_pack(stages):
 
 
 def test_odd_rows_and_clashing_columns(spark, tmp_path):
-    rows = [(1, None, "en", None, 3, "x"), (1, None, "en", None, 3, "x"), (2, "", None, "s", None, "x"), (3, "word " * 30_000, "en", "s", 1, "x"), (3, "word " * 30_000, "en", "s", 1, "x"), (4, "a b c d e f", "en", "s", 1, "x"), (5, "A b c d e f", "en", "s", 1, "x"), (None, "lonely", "en", "s", 1, "x")]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, h string"
+    rows = [(1, None, "en", None, 3, "x", 1), (1, None, "en", None, 3, "x", 1), (2, "", None, "s", None, "x", 1), (3, "word " * 30_000, "en", "s", 1, "x", 1), (3, "word " * 30_000, "en", "s", 1, "x", 1), (4, "a b c d e f", "en", "s", 1, "x", 1), (5, "A b c d e f", "en", "s", 1, "x", 1), (None, "lonely", "en", "s", 1, "x", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, h string, _id int"
     for t in ("labels", "benchmark"):
         table(spark, SF, t).write.parquet(str(tmp_path / f"{t}.parquet"))
     for n in (len(rows), 0):
@@ -108,7 +108,7 @@ def test_odd_rows_and_clashing_columns(spark, tmp_path):
         for name, stage in P.STAGES:
             docs = cut(stage(spark, docs, str(tmp_path)))
             if name != "pack":
-                assert docs.columns == [*COLS, "h"]
+                assert docs.columns == [*COLS, "h", "_id"]
             if name == "near_dups" and n:
                 assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "2", "3", "4", "None"]
     assert F is not None
