@@ -1,15 +1,15 @@
 """MVCC reads: the newest version of each key at a sequence number, without tombstones.
 
 Key and sequence predicates belong below the per-key arg-max and the tombstone test above it:
-dropping tombstones first would bring deleted keys back. The arg-max is one aggregation, so Spark
-combines versions on the map side and each key crosses the network at most once per task.
+dropping tombstones first would bring deleted keys back. Spark picks the newest version of each key on
+the map side already, so each key crosses the network at most once per task, however many versions it has.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keytide.functions.keys import has_prefix, in_range, literal
 from keytide.functions.schema import DELETE, PUT, KeyNotFound
@@ -22,9 +22,15 @@ def at(log: DataFrame, as_of: int | None = None, where: Column | None = None) ->
 
 
 def newest(log: DataFrame) -> DataFrame:
-    """One row per key: its newest version, a put before a delete of the same sequence number."""
-    rank = F.struct(F.col("seq"), (-F.col("op")).alias("p"))
-    return log.groupBy("key").agg(F.max_by(F.struct("seq", "op", "value"), rank).alias("v")).select("key", "v.seq", "v.op", "v.value")
+    """One row per key: its newest version, a put before a delete of the same sequence number.
+
+    In batch a top-1 window, which Spark limits to one row per key in each task before the shuffle; on a
+    stream, where windows of this kind don't exist, the same arg-max as an aggregate."""
+    if log.isStreaming:
+        rank = F.struct(F.col("seq"), (-F.col("op")).alias("p"))
+        return log.groupBy("key").agg(F.max_by(F.struct("seq", "op", "value"), rank).alias("v")).select("key", "v.seq", "v.op", "v.value")
+    w = Window.partitionBy("key").orderBy(F.desc("seq"), "op")
+    return log.select("key", "seq", "op", "value", F.row_number().over(w).alias("_nth")).filter(F.col("_nth") == 1).drop("_nth")
 
 
 def visible(log: DataFrame, as_of: int | None = None, where: Column | None = None) -> DataFrame:

@@ -241,6 +241,7 @@ def test_plan_pushes_key_and_seq_but_not_op(spark, tmp_path):
     log.write.parquet(str(tmp_path / "p"))
     plan = R.scan_prefix(spark.read.parquet(str(tmp_path / "p")), "a", 5)._jdf.queryExecution().executedPlan().toString()
     pushed = plan[plan.index("PushedFilters") :]
+    assert plan.index("WindowGroupLimit") < plan.index("Exchange hashpartitioning(key") < plan.rindex("WindowGroupLimit")
     assert "GreaterThanOrEqual(key,a)" in pushed and "LessThan(key,b)" in pushed and "LessThanOrEqual(seq,5)" in pushed and "op" not in pushed.split("ReadSchema")[0]
 
 
