@@ -3,7 +3,7 @@
 Model. Features are a word and its initial 3 to 6 letters, so that inflected and coined forms share
 evidence. A feature's weight is the log-odds of its document frequencies in toxic and other labelled
 texts under an informative Dirichlet prior (the background frequencies, ``PRIOR`` of their mass), less one
-deviation and a quarter; features whose log-odds aren't ``MIN_Z`` deviations above zero are left out. A token (what
+deviation and a quarter; features whose log-odds aren't ``MIN_Z`` deviations above zero, or whose weight is below ``LEAST``, are left out. A token (what
 stands between white space) counts by its best word, a word by its most specific feature in the model. Every other token costs the
 log-odds of "no feature".
 
@@ -14,8 +14,8 @@ bound. A segment with an expectation of at most ``MAX_E`` is a passage. The evid
 largest -log10 p of its best 1, 2, 3, ... segments together (Karlin and Altschul's sum statistics); a
 logistic curve fitted on the training rows makes it, up to ``MOST``, a score from 0 to 1.
 
-Fitting uses at most about ``max_rows`` labelled texts, chosen by a hash of their ids, each distinct text
-once; the model has at most ``max_features`` features. Scoring reads nothing but the text. Null and empty texts have
+Fitting uses at most about ``max_rows`` labelled texts, chosen by a hash of their ids; of near copies few count, since
+else the rare words of a toxic text with many copies would look toxic; the model has at most ``max_features`` features. Scoring reads nothing but the text. Null and empty texts have
 no evidence and get the curve's lowest value. Without toxic training rows the model is empty.
 """
 
@@ -31,9 +31,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from keytide.llm.common import cut, forget, small_batches, table
+from keytide.llm.common import chunks, cut, forget, small_batches, table
+from keytide.llm.near_dups import shingle_sets, sketches
 
-PRIOR, MIN_Z, LOWER, CAP, MAX_E, MOST = 0.03, 2.3, 1.25, 8.0, 1e-3, 10.0
+PRIOR, MIN_Z, LOWER, LEAST, CAP, MAX_E, MOST, SIGNATURES = 0.03, 2.3, 1.25, 1.0, 8.0, 1e-3, 10.0, 4
 _WORDS = re.compile(r"[^\W\d_]+")
 _TYPE = "score double, evidence double, starts array<int>, stops array<int>, scores array<double>"
 
@@ -153,6 +154,25 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, keep
     return y.filter(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n)) < max_rows)
 
 
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column("text").to_pylist()
+        for at in chunks(texts):
+            sk = sketches(shingle_sets(texts[at], 3))[:, :SIGNATURES].view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("text")[at], b.column("y")[at], *(pa.array(sk[:, k].copy()) for k in range(SIGNATURES))], names=["text", "y", *(f"s{k}" for k in range(SIGNATURES))])
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """One of the rows that agree in a coordinate of their sketches of three-word shingles, for one coordinate after
+    the other: of texts that are much the same few stay, and texts that have nothing in common all stay."""
+    sig = [f"s{k}" for k in range(SIGNATURES)]
+    rows = rows.mapInArrow(_signatures, "text string, y int, " + ", ".join(f"{s} long" for s in sig))
+    for s in sig:
+        least = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y", *sig)).alias("x")
+        rows = rows.groupBy(F.col(s).alias("_same")).agg(least).select("x.text", "x.y", *[f"x.{c}" for c in sig])
+    return rows
+
+
 def is_held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
 
@@ -160,8 +180,8 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 20_000, max_features: int = 50_000) -> Model:
     small_batches(docs.sparkSession)
     y = labelled(docs, labels, label, max_rows, ~is_held_out(doc_id), doc_id)
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(y), "id").filter("text is not null")
-    rows = cut(rows.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("y").alias("y")).select("text", "y"))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(y.withColumn("y", F.col("y").cast("int"))), "id").filter("text is not null")
+    rows = cut(_apart(rows.select("text", "y")).select("text", "y"))
     counts = rows.repartition(F.xxhash64("text")).mapInArrow(_count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     counts = cut(counts.filter("t >= 3"))
     total = counts.filter("feature = ''").first()
@@ -175,7 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     sd = F.sqrt(1 / at + 1 / ac)
     good = counts.filter("feature != ''").select("feature", "t", "c", delta.alias("delta"), sd.alias("sd")).filter((F.col("delta") > 1) & (F.col("delta") >= MIN_Z * F.col("sd")))
     best = good.orderBy(F.desc(F.col("delta") / F.col("sd")), "feature").limit(max_features).collect()
-    model.weights = {r.feature: min(CAP, max(0.5, r.delta - LOWER * r.sd)) for r in best}
+    best = [r for r in best if r.delta - LOWER * r.sd >= LEAST]
+    model.weights = {r.feature: min(CAP, r.delta - LOWER * r.sd) for r in best}
     # words that carry a feature, by their most general one, for the share of the others
     roots = [r for r in best if not any(f in model.weights for f in features(r.feature.rstrip("~"))[:-1] if f != r.feature)]
     share_t, share_c = (min(0.9, sum(getattr(r, k) for r in roots) / n) for k, n in (("t", T), ("c", C)))
