@@ -55,9 +55,23 @@ def test_held_out_accuracy(spark):
     assert hit >= 0.8 * toxic and false <= 0.01 * len(held), (hit, toxic, false, len(held))
 
 
+def own(i):
+    """A text that shares no three words in a row with another."""
+    return " ".join(f"{'idiot' if i % 2 else 'nice'} {'fool' if i % 3 else 'day'} w{i}x{k}" for k in range(6))
+
+
+def test_near_copies_count_once(spark):
+    """The rare words of one toxic text with many copies don't become toxic."""
+    copy = " ".join(f"rare{k}" for k in range(60))
+    docs = spark.createDataFrame([(i, own(i)) for i in range(10, 400)] + [(1000 + i, f"{copy} own{i} idiot") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10, 400)] + [(1000 + i, 1) for i in range(60)], "doc_id long, toxic int")
+    model = T.fit(docs, labels)
+    assert model.weight_of("idiot") > 1 and model.weight_of("rare7") == model.weight_of("rare") == 0
+
+
 def test_odd_rows(spark):
     schema = "doc_id long, text string, score string, toxic int"
-    docs = spark.createDataFrame([(1, None, "x", 5), (2, "", "x", 5), (None, "a b", "x", 5), (4, "idiot " * 50_000, "x", 5), (4, "idiot", "x", 5)] + [(i, ("idiot fool " if i % 2 else "nice day ") * 6 + f"w{i}", "x", 5) for i in range(10, 200)], schema)
+    docs = spark.createDataFrame([(1, None, "x", 5), (2, "", "x", 5), (None, "a b", "x", 5), (4, "idiot " * 50_000, "x", 5), (4, "idiot", "x", 5)] + [(i, own(i), "x", 5) for i in range(10, 200)], schema)
     labels = spark.createDataFrame([(i, i % 2) for i in range(10, 200)] + [(11, None), (None, 1), (12, 0)], "doc_id long, toxic int")
     model = T.fit(docs, labels)
     got = {(r.doc_id, len(r.text or "")): r.toxicity for r in T.score(docs, model).collect()}
