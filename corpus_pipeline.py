@@ -7,8 +7,9 @@ given; statistics of the corpus are those of the stage's own input.
 toxicity: drops texts that score at least 0.7.
 quality: keeps the Gumbel top-k by importance weight, k being the number of texts above the weight that best
     separates labelled good from bad; the low temperature leaves chance only to texts at that threshold.
-near_dups: of each component of 5-word-shingle similarity >= 0.8, the text with the smallest id stays; texts
-    without words stay. Rows that repeat an id stay once.
+near_dups: of each component of 5-word-shingle similarity >= 0.8, one row stays, which has the smallest id (a null
+    one only if there is no other); texts without words stay. Unrelated texts under one id, or without an id, are
+    different texts and all stay; rows that repeat both an id and a text stay once.
 decontaminate: drops texts in which a 10-word window of a benchmark item occurs.
 pack: pieces of at most 2048 tokens with their place in a sequence.
 """
@@ -42,10 +43,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = cut(_near_dups.near_dups(docs, shingle=5).filter("kept").select("doc_id", "row_key"))
-    once = found.groupBy("doc_id").agg(F.min("row_key").alias("row_key"), F.count("*").alias("n"))
-    stay = _only(docs, once)
-    return stay.dropDuplicates(["doc_id"]) if not once.filter("n > 1").isEmpty() else stay
+    found = cut(_near_dups.near_dups(docs, shingle=5).filter("kept").select("doc_id", "row_key", "root_id"))
+    rows = found.groupBy("root_id", "doc_id", "row_key").agg(F.count("*").alias("n"))
+    first = rows.filter("root_id is not null").groupBy("root_id").agg(F.min(F.struct("doc_id", "row_key", "n")).alias("x")).select("x.*")
+    # rows without an id and without words may be equal and yet of different texts
+    bare = rows.filter("root_id is null").select("doc_id", "row_key", F.when(F.col("doc_id").isNull(), 1).otherwise(F.col("n")).alias("n"))
+    once = cut(first.unionByName(bare))
+    if once.filter("n > 1").isEmpty():
+        return _only(docs, once)
+    return _only(docs, once.filter("n = 1")).unionByName(_only(docs, once.filter("n > 1")).dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

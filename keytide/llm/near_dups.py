@@ -210,7 +210,7 @@ def _link_tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
 
 def near_dups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links of
-    similarity >= percent / 100, itself included), kept (it is that id), class_id (of equal sets; null
+    similarity >= percent / 100, itself included), kept (it is that id), class_id (of equal sets) and root_id (of the component's classes; both null
     without words), row_key."""
     small_batches(docs.sparkSession)
     src = docs.select(F.col(doc_id).cast("long").alias("id"), row_key(F.col(text)).alias("h"), F.col(text).alias("text"))
@@ -235,10 +235,10 @@ def near_dups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_id: s
 
     named = classes.select("digest", "least", "node").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = named.join(least, "root").select("digest", F.col("node").alias("class_id"), "component_id")
-    empty = prints.filter("n = 0").select("id", "h", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("class_id"))
-    out = prints.filter("n > 0").select("id", "h", "n", "digest").join(label, "digest").select("id", "h", "n", "component_id", "class_id").unionByName(empty)
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id", F.col("h").alias("row_key"))
+    label = named.join(least, "root").select("digest", F.col("node").alias("class_id"), F.col("root").alias("root_id"), "component_id")
+    empty = prints.filter("n = 0").select("id", "h", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("root_id"))
+    out = prints.filter("n > 0").select("id", "h", "n", "digest").join(label, "digest").select("id", "h", "n", "component_id", "class_id", "root_id").unionByName(empty)
+    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id", "root_id", F.col("h").alias("row_key"))
 
 
 def query(spark, sf: str) -> DataFrame:

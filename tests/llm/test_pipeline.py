@@ -112,3 +112,15 @@ def test_odd_rows_and_clashing_columns(spark, tmp_path):
             if name == "near_dups" and n:
                 assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "2", "3", "4", "None"]
     assert F is not None
+
+
+def test_unrelated_texts_without_or_under_one_id_all_stay(spark):
+    t = [" ".join(f"w{i}x{k}" for k in range(12)) for i in range(9)]
+    rows = [(None, t[0]), (None, t[1]), (None, t[2]), (None, t[2]), (None, ""), (None, ""), (5, t[3]), (5, t[4]), (5, t[4]), (5, ""), (5, ""), (6, t[3]), (None, t[3]), (7, t[5]), (7, t[5] + " z"), (8, t[6])]
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in P.near_dups(spark, docs, "").collect()]
+    seven = [x for x in got if x[0] == 7]
+    assert len(seven) == 1 and seven[0][1] in (t[5], t[5] + " z")
+    key = lambda x: (str(x[0]), x[1])
+    want = [(None, t[0]), (None, t[1]), (None, t[2]), (None, ""), (None, ""), (5, t[3]), (5, t[4]), (5, ""), (8, t[6])]
+    assert sorted((x for x in got if x[0] != 7), key=key) == sorted(want, key=key)
