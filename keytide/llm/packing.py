@@ -4,12 +4,15 @@ A text's ids, closed by an end id, are cut into pieces of at most ``capacity`` (
 text may be shorter). How well pieces can be packed depends on nothing but how many there are of each
 length, a table of at most ``capacity`` rows however large the corpus; the driver solves that problem.
 
-Bin completion: the longest piece left opens a sequence, which is completed by the best of the fillings
-that no other one dominates: an exact fit with the fewest and longest pieces if there is one, else fillings to which
-nothing can be added and in which no piece can be exchanged for a longer one, by waste. A filling is used as
-often as the counts allow. Branch and bound over the fillings, with discrepancies from the best one, starts from
-the best-fit-decreasing packing as the incumbent, and drops a branch when its waste so far already implies as
-many sequences as the incumbent has. It ends at a proven optimum or after ``nodes`` fillings.
+Bin completion: the longest piece left opens a sequence, which is completed by the filling of least waste, of those by
+one with one or two added pieces if it is exact, else by that of the longest pieces, found in a table of the sums that the
+remaining counts reach; so an exact fit of any number of pieces is found if there is one. A filling is used as often as the counts allow. Depth-first search from there takes other
+fillings, a choice of rank r costing r discrepancies, of which each pass allows one more than the last: for every length, the filling of least waste
+whose longest added piece it is, unless exchanging that piece for a longer one dominates it; and each filling once instead of as often as the counts
+allow. These are not all undominated fillings, of which there may be exponentially many. The incumbent at the start is the
+best-fit-decreasing packing, and a branch is dropped when its waste so far already implies as many sequences as the
+incumbent has. The search ends when the lower bound is met, which proves an optimum, after ``nodes`` fillings, or when no choice is left; in
+the last two cases the packing need not be optimal.
 
 Placement is a lookup: pieces of one length are interchangeable, so the r-th piece of a length gets the
 r-th place that the solution has for that length. A piece's number within its length is a count inside its task
@@ -141,115 +144,145 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[tup
 
 
 class _Shelf:
-    """Counts by length, with the questions that completion asks."""
+    """Counts by length, with the fillings that they allow."""
 
     def __init__(self, counts: dict[int, int], capacity: int):
-        self.n = np.zeros(capacity + 1, np.int64)
+        self.n, self.capacity = np.zeros(capacity + 1, np.int64), capacity
         for k, c in counts.items():
             self.n[k] = c
 
-    def pair(self, room: int, used: int = 0) -> tuple[int, int] | None:
+    def take(self, fill: tuple[int, ...], times: int) -> None:
+        for k in fill:
+            self.n[k] -= times
+
+    def times(self, fill: tuple[int, ...]) -> int:
+        return int(min(self.n[k] // u for k, u in Counter(fill).items()))
+
+    def pair(self, room: int) -> tuple[int, int] | None:
         """The pair with the longest first piece that adds up to ``room``."""
         a = np.arange((room + 1) // 2, room)
-        ok = np.flatnonzero((self.n[a] > (a == used)) & (self.n[room - a] > (a == room - a) + ((room - a) == used)))
+        ok = np.flatnonzero((self.n[a] > 0) & (self.n[room - a] > (a == room - a)))
         return (int(a[ok[-1]]), int(room - a[ok[-1]])) if len(ok) else None
 
-    def longest(self, room: int, used: Counter) -> int:
-        at = np.flatnonzero(self.n[1 : room + 1])[::-1]
-        return next((int(k) + 1 for k in at[: len(used) + 1] if self.n[k + 1] > used[int(k) + 1]), 0)
-
-    def fillings(self, first: int, capacity: int, most: int) -> list[tuple[int, ...]]:
-        """Undominated fillings around ``first``, the best one first."""
-        room = capacity - first
+    def sums(self, room: int) -> tuple[list[int], list[int], list[int], list[int]]:
+        """The lengths up to ``room``; how often each may be used; for the shortest j of them (j = 0, 1, ...) the sums that they
+        reach, as bits; and for each the largest sum that it reaches with shorter ones."""
+        lens = np.flatnonzero(self.n[1 : room + 1]) + 1
+        most = np.minimum(self.n[lens], room // lens).tolist()
+        lens, mask, reach, tops = lens.tolist(), (1 << (room + 1)) - 1, [1], []
+        for k, left in zip(lens, most, strict=True):
+            used, left, w = (reach[-1] << k) & mask, left - 1, 1
+            while left:
+                w = min(w, left)
+                used |= (used << (w * k)) & mask
+                left, w = left - w, 2 * w
+            tops.append(used.bit_length() - 1)
+            reach.append(reach[-1] | used)
+        return lens, most, reach, tops
+
+    @staticmethod
+    def pieces(lens: list[int], most: list[int], reach: list[int], total: int, j: int) -> list[int]:
+        """Pieces of the shortest ``j`` lengths that add up to ``total``: as many as possible of the longest length, then of the next."""
+        out: list[int] = []
+        while total:
+            j = bisect.bisect_right(lens, total, 0, j) - 1
+            k = lens[j]
+            u = next(u for u in range(min(most[j], total // k), -1, -1) if reach[j] >> (total - u * k) & 1)
+            out += [k] * u
+            total -= u * k
+        return out
+
+    def best(self, first: int) -> tuple[int, ...]:
+        """The filling around ``first`` that wastes least: an exact one with one or two added pieces if there is one, else that
+        of the longest pieces."""
+        room = self.capacity - first
         self.n[first] -= 1
         try:
             if room == 0:
-                return [(first,)]
+                return (first,)
             if self.n[room]:
-                return [(first, room)]
-            found: list[tuple[int, ...]] = []
+                return (first, room)
             if got := self.pair(room):
-                found.append((first, *got))
-            ones = np.flatnonzero(self.n[1:room])[::-1] + 1
-            if not found:
-                shortest = int(ones[-1]) if len(ones) else 0
-                for c in ones[ones <= room - 2 * shortest][:: 1 + len(ones) // 250]:
-                    if got := self.pair(room - int(c), int(c)):
-                        found.append((first, int(c), *got))
-                        break
-            if len(found) < most:
-                loose = []
-                for c in ones[:24]:
-                    used, fill, left = Counter([int(c)]), [int(c)], room - int(c)
-                    while left and (x := self.longest(left, used)):
-                        fill.append(x)
-                        used[x] += 1
-                        left -= x
-                    # exchanging the first piece for a longer one that still fits would dominate this
-                    if left == 0 or self.longest(int(c) + left, Counter(used)) <= c:
-                        loose.append((left, len(fill), (first, *fill)))
-                found += [f for _, _, f in sorted(loose, key=lambda x: (x[0], x[1]))[:most]]
-            return list(dict.fromkeys(found)) or [(first,)]
+                return (first, *got)
+            lens, most, reach, _ = self.sums(room)
+            return (first, *self.pieces(lens, most, reach, reach[-1].bit_length() - 1, len(lens)))
         finally:
             self.n[first] += 1
 
+    def others(self, first: int, best: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        """For each other length, the filling of least waste around ``first`` whose longest added piece it is, unless that piece
+        can be exchanged for a longer one; by waste, then the longest first."""
+        room, found = self.capacity - first, []
+        self.n[first] -= 1
+        lens, most, reach, tops = self.sums(room)
+        self.n[first] += 1
+        for j, (k, total) in enumerate(zip(lens, tops, strict=True), 1):
+            if total == room or j == len(lens) or lens[j] > k + room - total:
+                found.append((room - total, -j))
+        for waste, j in sorted(found):
+            fill = (first, *self.pieces(lens, most, reach, room - waste, -j))
+            if fill != best:
+                yield fill
+
+
+def _choices(shelf: _Shelf, best: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Fillings to take instead of ``best``, and how often."""
+    if shelf.times(best) > 1:
+        yield best, 1
+    for fill in shelf.others(best[0], best):
+        times = shelf.times(fill)
+        yield fill, times
+        if times > 1:
+            yield fill, 1
+
 
 def complete(counts: dict[int, int], capacity: int, nodes: int = 20_000) -> list[tuple[tuple[int, ...], int]]:
     """(pieces, how often) of a packing of the counted lengths into as few sequences as found."""
     counts = {n: c for n, c in counts.items() if c > 0}
     best = best_fit_decreasing(counts, capacity)
-    size = sum(t for _, t in best)
-    bound, total = lower_bound(counts, capacity), sum(n * c for n, c in counts.items())
-    for depth in range(0, 3):  # discrepancies allowed, from none
-        stack = [(_Shelf(counts, capacity).n, (), 0, depth)]
-        while stack and size > bound and nodes > 0:
-            n, path, used, more = stack.pop()
-            shelf = _Shelf({}, capacity)
-            shelf.n = n.copy()
-            steps: list = []
-            node = path
-            while True:
+    size, bound = sum(t for _, t in best), lower_bound(counts, capacity)
+    total, depth, more = sum(n * c for n, c in counts.items()), 0, True
+    while more and size > bound and nodes > 0:
+        shelf, used, rest, more = _Shelf(counts, capacity), 0, total, False
+        steps: list[list] = []  # filling, how often, discrepancies left, choices other than it (None until asked for)
+        down = True
+        while size > bound and nodes > 0:
+            if down and not rest:
+                size, best, down = used, [(f, t) for f, t, *_ in steps], False
+            elif down and used + -(-rest // capacity) >= size:
+                down = False
+            elif down:
+                fill = shelf.best(int(np.flatnonzero(shelf.n)[-1]))
+                step = [fill, shelf.times(fill), depth if not steps else steps[-1][4], None, 0]
+                step[4] = step[2]
+            elif not steps:
+                break
+            else:
+                step = steps.pop()
+                fill, t, spare, choices, _ = step
+                shelf.take(fill, -t)
+                used, rest = used - t, rest + t * sum(fill)
+                if not spare:
+                    more = True
+                    continue
+                if choices is None:
+                    choices = enumerate(_choices(shelf, fill), 1)
+                rank, (fill, t) = next(choices, (0, (None, 0)))
+                if fill is None:
+                    continue
+                if rank > spare:
+                    more = True
+                    continue
+                step, down = [fill, t, spare, choices, spare - rank], True
+            if down:
                 nodes -= 1
-                some = np.flatnonzero(shelf.n)
-                if not len(some):
-                    if used < size:
-                        size, best = used, _unwind(node)
-                    break
-                rest = int((shelf.n * np.arange(capacity + 1)).sum())
-                if used + -(-rest // capacity) >= size or nodes <= 0:
-                    break
-                options = shelf.fillings(int(some[-1]), capacity, 1 if not more else 3)
-                for other in options[1:] if more and len(steps) < 40 else []:
-                    stack.append(_branch(shelf.n, node, used, more - 1, other))
-                fill = options[0]
-                steps.append(fill)
-                times = _times(shelf.n, fill)
-                for k, u in Counter(fill).items():
-                    shelf.n[k] -= u * times
-                node, used = (node, fill, times), used + times
-    del total
+                steps.append(step)
+                shelf.take(step[0], step[1])
+                used, rest = used + step[1], rest - step[1] * sum(step[0])
+        depth += 1
     return best
 
 
-def _times(n: np.ndarray, fill: tuple[int, ...]) -> int:
-    return int(min(n[k] // u for k, u in Counter(fill).items()))
-
-
-def _branch(n: np.ndarray, node: tuple, used: int, more: int, fill: tuple[int, ...]) -> tuple:
-    n, times = n.copy(), _times(n, fill)
-    for k, u in Counter(fill).items():
-        n[k] -= u * times
-    return n, (node, fill, times), used + times, more
-
-
-def _unwind(node: tuple) -> list[tuple[tuple[int, ...], int]]:
-    out = []
-    while node:
-        node, fill, times = node
-        out.append((fill, times))
-    return out[::-1]
-
-
 def places(solution: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, ...]]:
     """For each length, runs of places: first rank, first sequence, places per sequence, where their offsets begin; and the offsets."""
     runs: dict[int, list] = {}

@@ -118,3 +118,11 @@ def test_encoder_without_ranks_agrees():
     for s in ["", "Hello  world<|endoftext|>", "ñ\x00 "]:
         assert e(s).tolist() == f(s).tolist()
     assert f.fast is not None
+
+
+def test_exact_fit_of_five_pieces_is_found():
+    counts = {1000: 240, 262: 960} | {k: 5 for k in range(925, 973)}
+    # 240 exact sequences of 1000 and four times 262; of the others no three fit together
+    assert valid(K.complete(counts, 2048, nodes=300), counts, 2048) == 360
+    shelf = K._Shelf({5: 3, 4: 1, 3: 2, 1: 1}, 12)
+    assert shelf.best(5) == (5, 4, 3) and K._Shelf({9: 1, 2: 1, 4: 3}, 16).best(9) == (9, 4, 2)
