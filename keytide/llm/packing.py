@@ -6,13 +6,13 @@ length, a table of at most ``capacity`` rows however large the corpus; the drive
 
 Bin completion: the longest piece left opens a sequence, which is completed by the filling of least waste, of those by
 one with one or two added pieces if it is exact, else by that of the longest pieces, found in a table of the sums that the
-remaining counts reach; so an exact fit of any number of pieces is found if there is one. A filling is used as often as the counts allow. Depth-first search from there takes other
-fillings, a choice of rank r costing r discrepancies, of which each pass allows one more than the last: for every length, the filling of least waste
-whose longest added piece it is, unless exchanging that piece for a longer one dominates it; and each filling once instead of as often as the counts
-allow. These are not all undominated fillings, of which there may be exponentially many. The incumbent at the start is the
-best-fit-decreasing packing, and a branch is dropped when its waste so far already implies as many sequences as the
-incumbent has. The search ends when the lower bound is met, which proves an optimum, after ``nodes`` fillings, or when no choice is left; in
-the last two cases the packing need not be optimal.
+remaining counts reach; so an exact fit of any number of pieces is found if there is one. A filling is used as often as the
+counts allow. Depth-first search from there takes the other undominated fillings, which are enumerated one by one, by waste:
+the choice of rank r costs r discrepancies, of which each pass allows one more than the last; each filling also once instead
+of as often as the counts allow. The incumbent at the start is the best-fit-decreasing packing, and a branch is dropped when
+its waste so far already implies as many sequences as the incumbent has. The search ends when the lower bound is met, which
+proves an optimum, or after ``nodes`` fillings looked at, when the packing need not be optimal; or when no undominated
+filling is left to try.
 
 Placement is a lookup: pieces of one length are interchangeable, so the r-th piece of a length gets the
 r-th place that the solution has for that length. A piece's number within its length is a count inside its task
@@ -25,8 +25,10 @@ from __future__ import annotations
 
 import base64
 import bisect
+import os
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -37,15 +39,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from keytide.llm.common import chunks, cut, row_key, small_batches, table
 
 
+#: White space that an encoder with a backtracking pattern can't get through.
+_LONG_GAP = re.compile(r"\s{2000}")
+
+
 class Encoder:
     """Ids of a text by a ``tokenizers`` file. If the same vocabulary is also there as ranks, tiktoken's encoder
-    makes the ids, several times faster; the first texts of each worker are encoded by both, and any difference
-    turns the fast one off."""
+    proposes the ids, several times faster, and every text's proposal is verified: a sequence of pieces is the
+    byte-pair encoding of what it spells if each two neighbours are that of what they spell, so each distinct pair of
+    neighbours is encoded once by the file's own tokenizer and remembered in a table of fixed size. (Neighbours are units of whole
+    characters: pieces that share a character are one unit.) A text with a pair that isn't confirmed, or with very long
+    white space, is encoded by the file's tokenizer."""
+
+    BITS = 22
+    START = (1 << 32) - 1  # stands before the first unit
+    JOINED = 1 << 31  # units of several pieces have numbers from here on
 
-    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None, check: int = 25):
+    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
         from tokenizers import Tokenizer
 
-        self.slow, self.fast, self.check = Tokenizer.from_file(path), None, check
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.slow, self.fast = Tokenizer.from_file(path), None
         if ranks:
             import tiktoken
 
@@ -53,17 +67,77 @@ class Encoder:
                 table_of = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             added = {t.content: i for i, t in self.slow.get_added_tokens_decoder().items()}
             self.fast = tiktoken.Encoding("fast", pat_str=pattern, mergeable_ranks=table_of, special_tokens=added)
+            self.inside = np.zeros(max([*table_of.values(), *added.values()]) + 1, bool)  # pieces that begin inside a character
+            self.inside[[i for p, i in table_of.items() if 0x80 <= p[0] < 0xC0]] = True
+            self._forget()
+
+    def _forget(self) -> None:
+        self.confirmed, self.refused = np.zeros(1 << self.BITS, np.uint64), set()
+        self.joined: dict[bytes, int] = {}
+        self.pieces_of: list[list[int]] = []
+
+    def _slowly(self, text: str) -> np.ndarray:
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _ids(self, pair: int) -> list[int]:
+        return [i for u in (pair >> 32, pair & 0xFFFFFFFF) if u != self.START for i in (self.pieces_of[u - self.JOINED] if u >= self.JOINED else [u])]
+
+    def _confirm(self, pairs: np.ndarray) -> None:
+        """Encode what each pair spells, and remember which come out as they are."""
+        ids = [self._ids(p) for p in pairs.tolist()]
+        spelled = [b"".join(map(self.fast.decode_single_token_bytes, x)).decode("utf-8", "replace") for x in ids]
+        coded = self.slow.encode_batch_fast(spelled, add_special_tokens=False)
+        good = np.array([c.ids == x for c, x in zip(coded, ids, strict=True)], bool)
+        self.confirmed[self._slot(pairs[good])] = pairs[good]
+        self.refused.update(pairs[~good].tolist())
+
+    def _slot(self, pairs: np.ndarray) -> np.ndarray:
+        return (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)
+
+    def _pairs(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of neighbouring units of the texts that begin at ``at``, and where each pair ends."""
+        place = np.flatnonzero(~self.inside[ids])
+        unit = ids[place].astype(np.uint64)
+        size = np.diff(place, append=len(ids))
+        for m in np.flatnonzero(size > 1).tolist():
+            key = ids[place[m] : place[m] + size[m]]
+            n = self.joined.get(key.tobytes())
+            if n is None:
+                n = self.joined[key.tobytes()] = self.JOINED + len(self.pieces_of)
+                self.pieces_of.append(key.tolist())
+            unit[m] = n
+        before = np.concatenate([[self.START], unit[:-1]]).astype(np.uint64)
+        before[np.searchsorted(place, at)] = self.START
+        return before << np.uint64(32) | unit, place
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        out, ask = [None] * len(texts), []
+        for i, t in enumerate(texts):
+            if self.fast is None or _LONG_GAP.search(t):
+                out[i] = self._slowly(t)
+            elif t:
+                out[i] = self.fast.encode_to_numpy(t, allowed_special="all")
+                ask.append(i)
+            else:
+                out[i] = np.zeros(0, np.uint32)
+        if not ask:
+            return out
+        if len(self.refused) + len(self.joined) > 500_000:
+            self._forget()
+        at = np.cumsum([0] + [len(out[i]) for i in ask])[:-1]
+        pairs, place = self._pairs(np.concatenate([out[i] for i in ask]), at)
+        new = self.confirmed[self._slot(pairs)] != pairs
+        if new.any():
+            which, where = np.unique(pairs[new], return_inverse=True)
+            known = np.array([p in self.refused for p in which.tolist()], bool)
+            self._confirm(which[~known])
+            bad = np.array([p in self.refused for p in which.tolist()], bool)[where]
+            for k in np.unique(np.searchsorted(at, place[new][bad], "right") - 1).tolist():
+                out[ask[k]] = self._slowly(texts[ask[k]])
+        return out
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None:
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        ids = self.fast.encode_to_numpy(text, allowed_special="all")
-        if self.check > 0:
-            self.check -= 1
-            if ids.tolist() != self.slow.encode(text, add_special_tokens=False).ids:
-                self.fast = None
-                return self(text)
-        return ids
+        return self.many([text])[0]
 
 
 @lru_cache(maxsize=4)
@@ -90,8 +164,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, end: int, tokens:
         texts = b.column("text").to_pylist()
         for at in chunks(texts, 4 << 20):
             rows: list[tuple] = []
-            for i, t in enumerate(texts[at], at.start):
-                ids = np.append(encode(t or ""), np.uint32(end)).astype("<u4")
+            for i, ids in enumerate(encode.many([t or "" for t in texts[at]]), at.start):
+                ids = np.append(ids, np.uint32(end)).astype("<u4")
                 for p, (s, n) in enumerate(cuts(len(ids), capacity)):
                     rows.append((i, p, s, n, seen[n], ids[s : s + n].tobytes()))
                     seen[n] += 1
@@ -164,21 +238,20 @@ class _Shelf:
         ok = np.flatnonzero((self.n[a] > 0) & (self.n[room - a] > (a == room - a)))
         return (int(a[ok[-1]]), int(room - a[ok[-1]])) if len(ok) else None
 
-    def sums(self, room: int) -> tuple[list[int], list[int], list[int], list[int]]:
+    def sums(self, room: int) -> tuple[list[int], list[int], list[int]]:
         """The lengths up to ``room``; how often each may be used; for the shortest j of them (j = 0, 1, ...) the sums that they
-        reach, as bits; and for each the largest sum that it reaches with shorter ones."""
+        reach, as bits."""
         lens = np.flatnonzero(self.n[1 : room + 1]) + 1
         most = np.minimum(self.n[lens], room // lens).tolist()
-        lens, mask, reach, tops = lens.tolist(), (1 << (room + 1)) - 1, [1], []
+        lens, mask, reach = lens.tolist(), (1 << (room + 1)) - 1, [1]
         for k, left in zip(lens, most, strict=True):
             used, left, w = (reach[-1] << k) & mask, left - 1, 1
             while left:
                 w = min(w, left)
                 used |= (used << (w * k)) & mask
                 left, w = left - w, 2 * w
-            tops.append(used.bit_length() - 1)
             reach.append(reach[-1] | used)
-        return lens, most, reach, tops
+        return lens, most, reach
 
     @staticmethod
     def pieces(lens: list[int], most: list[int], reach: list[int], total: int, j: int) -> list[int]:
@@ -204,36 +277,79 @@ class _Shelf:
                 return (first, room)
             if got := self.pair(room):
                 return (first, *got)
-            lens, most, reach, _ = self.sums(room)
+            lens, most, reach = self.sums(room)
             return (first, *self.pieces(lens, most, reach, reach[-1].bit_length() - 1, len(lens)))
         finally:
             self.n[first] += 1
 
-    def others(self, first: int, best: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
-        """For each other length, the filling of least waste around ``first`` whose longest added piece it is, unless that piece
-        can be exchanged for a longer one; by waste, then the longest first."""
-        room, found = self.capacity - first, []
+    def undominated(self, first: int, spend: Callable[[], bool]) -> Iterator[tuple[int, ...]]:
+        """All undominated fillings around ``first`` at the present counts, by waste, then the longest pieces first; each one looked
+        at costs one of ``spend``, which is false when none is left.
+
+        A filling is dominated if some of its added pieces, or none, can be exchanged for one piece left over that is longer
+        than they are together and still fits, or for one that is as long as several of them together: whatever
+        packing has the one, another that is no larger has the other. What exactly fills the room alone dominates all else."""
+        room = self.capacity - first
+        if room == 0 or self.n[room] - (room == first):
+            yield (first, room) if room else (first,)
+            return
         self.n[first] -= 1
-        lens, most, reach, tops = self.sums(room)
+        lens, most, reach = self.sums(room)
         self.n[first] += 1
-        for j, (k, total) in enumerate(zip(lens, tops, strict=True), 1):
-            if total == room or j == len(lens) or lens[j] > k + room - total:
-                found.append((room - total, -j))
-        for waste, j in sorted(found):
-            fill = (first, *self.pieces(lens, most, reach, room - waste, -j))
-            if fill != best:
-                yield fill
-
-
-def _choices(shelf: _Shelf, best: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], int]]:
+        left, times = sum(1 << k for k in lens), dict(zip(lens, most, strict=True))
+        for waste in range(room + 1):
+            if not reach[-1] >> (room - waste) & 1:
+                continue
+            for added in _multisets(lens, most, reach, room - waste, len(lens)):
+                if not spend():
+                    return
+                if not _dominated(added, waste, left, times):
+                    yield (first, *added)
+
+
+def _multisets(lens: list[int], most: list[int], reach: list[int], total: int, j: int) -> Iterator[tuple[int, ...]]:
+    """All multisets of the shortest ``j`` lengths that add up to ``total``, which they reach: those with the longest pieces first."""
+    if not total:
+        yield ()
+        return
+    for i in range(bisect.bisect_right(lens, total, 0, j), 0, -1):
+        k = lens[i - 1]
+        for u in range(min(most[i - 1], total // k), 0, -1):
+            if reach[i - 1] >> (total - u * k) & 1:
+                for rest in _multisets(lens, most, reach, total - u * k, i - 1):
+                    yield (k,) * u + rest
+
+
+def _dominated(added: tuple[int, ...], waste: int, left: int, most: dict[int, int]) -> bool:
+    """``left``: all lengths as bits; ``most``: how often each may be used."""
+    for k, u in Counter(added).items():
+        if u >= most[k]:
+            left &= ~(1 << k)
+    any_, one, several = 1, 0, 0  # the sums of any, of one, of two or more of the added pieces, as bits
+    for k in added:
+        several |= (one | several) << k
+        one |= 1 << k
+        any_ |= any_ << k
+    width = 1  # sums and what is up to ``width`` above them; waste is 0 where the room is filled exactly
+    above = any_ << 1
+    while 2 * width <= waste:
+        above, width = above | above << width, 2 * width
+    above = (above | above << (waste - width)) if waste else 0
+    return bool(left & (above | several))
+
+
+def _choices(shelf: _Shelf, best: tuple[int, ...], spend: Callable[[], bool]) -> Iterator[tuple[tuple[int, ...], int]]:
     """Fillings to take instead of ``best``, and how often."""
+    if len(best) == 1 or len(best) == 2 and sum(best) == shelf.capacity:
+        return  # it dominates all others
     if shelf.times(best) > 1:
         yield best, 1
-    for fill in shelf.others(best[0], best):
-        times = shelf.times(fill)
-        yield fill, times
-        if times > 1:
-            yield fill, 1
+    for fill in shelf.undominated(best[0], spend):
+        if fill != best:
+            times = shelf.times(fill)
+            yield fill, times
+            if times > 1:
+                yield fill, 1
 
 
 def complete(counts: dict[int, int], capacity: int, nodes: int = 20_000) -> list[tuple[tuple[int, ...], int]]:
@@ -242,6 +358,12 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = 20_000) -> list
     best = best_fit_decreasing(counts, capacity)
     size, bound = sum(t for _, t in best), lower_bound(counts, capacity)
     total, depth, more = sum(n * c for n, c in counts.items()), 0, True
+
+    def spend() -> bool:
+        nonlocal nodes
+        nodes -= 1
+        return nodes > 0
+
     while more and size > bound and nodes > 0:
         shelf, used, rest, more = _Shelf(counts, capacity), 0, total, False
         steps: list[list] = []  # filling, how often, discrepancies left, choices other than it (None until asked for)
@@ -266,7 +388,7 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = 20_000) -> list
                     more = True
                     continue
                 if choices is None:
-                    choices = enumerate(_choices(shelf, fill), 1)
+                    choices = enumerate(_choices(shelf, fill, spend), 1)
                 rank, (fill, t) = next(choices, (0, (None, 0)))
                 if fill is None:
                     continue
@@ -331,7 +453,8 @@ def pack(docs: DataFrame, *, capacity: int = 2048, end: int = 0, tokens: dict |
     counts = {r.length: r.n for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = per.select(F.col("part").alias("p_"), F.col("length").alias("l_"), before.alias("before"))
-    ranked = pieces.join(starts, (F.col("part") == F.col("p_")) & (F.col("length") == F.col("l_"))).withColumn("rank", F.col("before") + F.col("k"))
+    # by shuffle: the table has a row for each task and length, and grows with the corpus
+    ranked = pieces.join(starts.hint("merge"), (F.col("part") == F.col("p_")) & (F.col("length") == F.col("l_"))).withColumn("rank", F.col("before") + F.col("k"))
     at = placer(places(complete(counts, capacity)))(F.col("length"), F.col("rank"))
     return ranked.withColumn("at", at).select(F.col("id").alias(doc_id), "piece", "start", F.col("length").cast("long").alias("length"), *carry, "at.sequence_id", "at.offset", F.col("h").alias("row_key"))
 

@@ -115,11 +115,55 @@ def test_odd_texts(spark, tmp_path):
 
 def test_encoder_without_ranks_agrees():
     e, f = K.Encoder(P.path("byte_bpe_50k.json")), K.Encoder(**K.public_encoder())
-    for s in ["", "Hello  world<|endoftext|>", "ñ\x00 "]:
+    for s in ["", "Hello  world<|endoftext|>", "ñ\x00\u2028", "œ😀\u3000x", " laèpapaque, Ête\n\n"]:
         assert e(s).tolist() == f(s).tolist()
     assert f.fast is not None
 
 
+def test_long_white_space_and_words():
+    e = K.Encoder(**K.public_encoder())
+    for s in [" " * 1_000_000, "\n" * 1_000_000, " \n\t " * 100_000 + "x", "a" * 300_000, ("x" + " " * 1500) * 200]:
+        assert e(s).tolist() == e.slow.encode(s, add_special_tokens=False).ids
+
+
+def test_wrong_proposals_are_refused():
+    """An encoder that leaves pieces apart is found out by its pairs, text by text."""
+    rng, e = random.Random(4), K.Encoder(**K.public_encoder())
+    texts = ["".join(rng.choices("etaoin shrdlué.,'\n 😀", k=rng.randrange(60))) for _ in range(400)]
+    want = [e.slow.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in e.many(texts)] == want
+
+    class Bytewise:
+        decode_single_token_bytes = e.fast.decode_single_token_bytes
+
+        def encode_to_numpy(self, text, allowed_special):
+            return np.array([i for c in text for i in e.slow.encode(c, add_special_tokens=False).ids], np.uint32)
+
+    e.fast = Bytewise()
+    assert [x.tolist() for x in e.many(texts)] == want and [x.tolist() for x in e.many(texts)] == want
+
+
+def fits_inside(small, large):
+    """Whether the pieces of ``small`` can be dealt to those of ``large`` without exceeding any."""
+    return any(all(sum(n for n, t in zip(small, to) if t == j) <= large[j] for j in range(len(large))) for to in itertools.product(range(len(large)), repeat=len(small)))
+
+
+def test_undominated_fillings_are_complete():
+    """Every filling that isn't enumerated has its added pieces inside those of one that is."""
+    rng = random.Random(8)
+    for _ in range(60):
+        cap = rng.choice([12, 19, 26])
+        counts = Counter(rng.randrange(1, cap) for _ in range(rng.randrange(2, 9)))
+        first = max(counts)
+        flat = sorted((counts - Counter([first])).elements(), reverse=True)
+        every = {c for r in range(len(flat) + 1) for c in itertools.combinations(flat, r) if sum(c) <= cap - first}
+        got = [f[1:] for f in K._Shelf(counts, cap).undominated(first, lambda: True)]
+        assert len(got) == len(set(got)) and set(got) <= every
+        assert [cap - sum(f) for f in got] == sorted(cap - sum(f) for f in got)
+        for f in every - set(got):
+            assert any(fits_inside(f, g) for g in got), (counts, cap, f, got)
+
+
 def test_exact_fit_of_five_pieces_is_found():
     counts = {1000: 240, 262: 960} | {k: 5 for k in range(925, 973)}
     # 240 exact sequences of 1000 and four times 262; of the others no three fit together
