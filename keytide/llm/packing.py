@@ -84,6 +84,10 @@ class Encoder:
 
     def _confirm(self, pairs: np.ndarray) -> None:
         """Encode what each pair spells, and remember which come out as they are."""
+        if len(pairs) > 4096:
+            for i in range(0, len(pairs), 4096):
+                self._confirm(pairs[i : i + 4096])
+            return
         ids = [self._ids(p) for p in pairs.tolist()]
         spelled = [b"".join(map(self.fast.decode_single_token_bytes, x)).decode("utf-8", "replace") for x in ids]
         coded = self.slow.encode_batch_fast(spelled, add_special_tokens=False)
@@ -162,7 +166,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, end: int, tokens:
     encode, part, seen = encoder(**tokens), TaskContext.get().partitionId(), Counter()
     for b in batches:
         texts = b.column("text").to_pylist()
-        for at in chunks(texts, 4 << 20):
+        for at in chunks(texts, 1 << 20):
             rows: list[tuple] = []
             for i, ids in enumerate(encode.many([t or "" for t in texts[at]]), at.start):
                 ids = np.append(ids, np.uint32(end)).astype("<u4")
@@ -454,7 +458,7 @@ def pack(docs: DataFrame, *, capacity: int = 2048, end: int = 0, tokens: dict |
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = per.select(F.col("part").alias("p_"), F.col("length").alias("l_"), before.alias("before"))
     # by shuffle: the table has a row for each task and length, and grows with the corpus
-    ranked = pieces.join(starts.hint("merge"), (F.col("part") == F.col("p_")) & (F.col("length") == F.col("l_"))).withColumn("rank", F.col("before") + F.col("k"))
+    ranked = pieces.join(starts.hint("shuffle_hash"), (F.col("part") == F.col("p_")) & (F.col("length") == F.col("l_"))).withColumn("rank", F.col("before") + F.col("k"))
     at = placer(places(complete(counts, capacity)))(F.col("length"), F.col("rank"))
     return ranked.withColumn("at", at).select(F.col("id").alias(doc_id), "piece", "start", F.col("length").cast("long").alias("length"), *carry, "at.sequence_id", "at.offset", F.col("h").alias("row_key"))
 
