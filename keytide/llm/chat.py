@@ -13,10 +13,10 @@ the last node of each conversation. Positions and spans count code points of the
 (``tokens``), they count ids instead, and a block has the ids too: a node's head, text and end are encoded apart, so no id
 lies across a border.
 
-The sort is by turn hashes and id, so a first turn or a whole conversation that a third of all rows share is
-spread over many tasks; it is emitted once per block. Only the first ``SORTED_TURNS`` turns take
-part in the sort; nodes are told apart by role and text, not by hash. A conversation is
-one record and has to fit in a task. Turns are ordered by number, then role and text; null texts and roles are empty.
+The sort is by the array of the hashes of all turns and by id, so a first turn or a whole conversation that a third of all
+rows share is spread over many tasks; it is emitted once per block. Nodes are told apart by role and text, not by hash. A
+conversation is one record and has to fit in a task. A block also ends with ``block_rows`` conversations, since copies add no
+text to it. Turns are ordered by number, then role and text; null texts and roles are empty.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from keytide.llm.common import small_batches, table
 from keytide.llm.packing import Encoder, encoder
 
-START, END, SORTED_TURNS = "<|im_start|>", "<|im_end|>", 64
+START, END = "<|im_start|>", "<|im_end|>"
 _IN_TEXT, _OUT_TEXT = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
 BLOCK = (
@@ -105,7 +105,7 @@ _ARROW = pa.schema(
 )
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], block_chars: int, tokens: dict | None) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], block_chars: int, block_rows: int, tokens: dict | None) -> Iterator[pa.RecordBatch]:
     encode = encoder(**tokens) if tokens else None
     part, made, block = TaskContext.get().partitionId(), 0, _Block(encode)
 
@@ -116,7 +116,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_chars: int, tokens: dict |
     for b in batches:
         for conv_id, turns in zip(b.column("conv_id").to_pylist(), b.column("turns").to_pylist(), strict=True):
             block.add(conv_id, [(t["role"], t["text"]) for t in turns])
-            if block.chars >= block_chars or len(block.cols["conv_ids"]) >= 20_000:
+            if block.chars >= block_chars or len(block.cols["conv_ids"]) >= block_rows:
                 yield out()
                 made, block = made + 1, _Block(encode)
     if block.cols["conv_ids"]:
@@ -124,20 +124,20 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_chars: int, tokens: dict |
 
 
 def conversations(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, turns (array of role and text in order), path (the sort key)."""
+    """conv_id, turns (array of role and text in order), path (the hashes of the turns: the sort key)."""
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     convs = turns.groupBy(F.col(conv_id).cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(one)).alias("all"))
-    step = F.transform(F.slice("all", 1, SORTED_TURNS), lambda t: F.lpad(F.hex(F.xxhash64(t["role"], t["text"])), 16, "0"))
-    return convs.select("conv_id", F.transform("all", lambda t: F.struct(t["role"], t["text"])).alias("turns"), F.array_join(step, "").alias("path"))
+    turns_of = F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    return convs.select("conv_id", turns_of.alias("turns"), F.transform("all", lambda t: F.xxhash64(t["role"], t["text"])).alias("path"))
 
 
-def format_tree(turns: DataFrame, *, block_chars: int = 1 << 20, tokens: dict | None = None, **columns) -> DataFrame:
+def format_tree(turns: DataFrame, *, block_chars: int = 1 << 20, block_rows: int = 20_000, tokens: dict | None = None, **columns) -> DataFrame:
     """Blocks of formatted text, as described above; see ``BLOCK``."""
     small_batches(turns.sparkSession)
-    convs = conversations(turns, **columns).withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
+    convs = conversations(turns, **columns)
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = convs.repartitionByRange(parts, "path", "conv_id").sortWithinPartitions("path", "conv_id").select("conv_id", "turns")
-    return ordered.mapInArrow(partial(_blocks, block_chars=block_chars, tokens=tokens), BLOCK)
+    return ordered.mapInArrow(partial(_blocks, block_chars=block_chars, block_rows=block_rows, tokens=tokens), BLOCK)
 
 
 def read_block(row: dict) -> Iterator[tuple[int, str, str]]:

@@ -66,6 +66,29 @@ def test_round_trip_and_sharing(spark):
         assert len(siblings) == len(set(siblings))
 
 
+def test_turns_are_shared_at_any_depth(spark):
+    """Conversations that branch after 70 and again after 90 turns: one node for each distinct beginning."""
+    rng = random.Random(5)
+    base = [f"t{i}" for i in range(100)]
+    convs = []
+    for c in range(12):
+        at = rng.choice([70, 90])
+        convs.append([*base[:at], f"branch {c % 3}", f"end {c}"] if c else base)
+    rows = [(c, i, "user", t) for c, ts in enumerate(convs) for i, t in enumerate(ts)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(3)
+    got = C.format_tree(df)
+    assert sorted(tuple(r) for r in C.digests(got).collect()) == brute(rows)
+    for r in got.collect():
+        mine = [convs[c] for c in r.conv_ids]
+        assert len(r.starts) == len({tuple(ts[:n]) for ts in mine for n in range(1, len(ts) + 1)})
+
+
+def test_copies_end_a_block(spark):
+    df = spark.createDataFrame([(c, 0, "user", "same", "x", 1) for c in range(50)], SCHEMA)
+    got = C.format_tree(df, block_rows=8).collect()
+    assert max(len(r.conv_ids) for r in got) == 8 and sum(len(r.conv_ids) for r in got) == 50 and all(len(r.starts) == 1 for r in got)
+
+
 def test_ids_follow_the_text(spark):
     rows = [r for r in make(3, 40) if r[0] % 3 == 0]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
