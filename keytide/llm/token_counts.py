@@ -8,8 +8,9 @@ for all pre-tokens with that beginning; a node keeps the score and the number of
 segmentation, and a pre-token's count is read at its end. Of equal scores, fewer tokens win.
 
 Every byte is a piece, so every text has a segmentation. Tries are dropped and started anew beyond ``MOST_NODES``
-nodes, which changes no result. Texts with long unbroken pre-tokens are no problem: a node looks back at most the
-longest piece. Null and empty texts have no tokens.
+nodes, which changes no result. A pre-token's bytes beyond ``DEEP`` get no nodes: a score needs none but those of the
+last few bytes, as many as the longest piece has, which are kept in a ring; so a pre-token of any length takes no more
+memory than itself. Null and empty texts have no tokens.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from keytide.llm.common import small_batches, table
 
-OFFSET, MOST_NODES, MOST_WORDS = 10.0, 800_000, 500_000
+OFFSET, MOST_NODES, MOST_WORDS, DEEP = 10.0, 800_000, 500_000, 256
 #: White space as the vocabulary's pattern knows it: not the four information separators.
 _CHUNKS = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|\s+")
 
@@ -42,10 +43,11 @@ def load_pieces(path: str) -> dict[bytes, float]:
 class Trie:
     """Forward scores of byte strings, shared by what they have in common at their beginning.
 
-    A node is (children, best score, tokens of that segmentation)."""
+    Nodes are numbers (the root is 0): ``next`` leads from a node and a byte to the node below, ``best`` and
+    ``tokens`` hold each node's score and the tokens of that segmentation. No node is an object that the garbage collector follows."""
 
     def __init__(self, pieces: dict[bytes, float]):
-        self.pieces = pieces
+        self.longest = max(map(len, pieces))
         # pieces by their reversed bytes, (children, score or None): from a node, they are read backwards along the path
         self.ends: dict = {}
         for p, s in pieces.items():
@@ -56,15 +58,22 @@ class Trie:
         self.clear()
 
     def clear(self) -> None:
-        self.root: dict = {}
-        self.nodes = 0
+        self.next: dict[int, int] = {}
+        self.best, self.tokens = [0.0], [0]
+
+    @property
+    def nodes(self) -> int:
+        return len(self.next)
 
     def count(self, word: bytes) -> int:
-        """The number of tokens; adds nodes for what of the word is new."""
-        at, best, tokens = self.root, [0.0], [0]
-        for i, b in enumerate(word):
-            node = at.get(b)
-            if node is None:
+        """The number of tokens; adds nodes for what of the word's beginning is new."""
+        if len(self.next) > MOST_NODES:
+            self.clear()
+        down, best, tokens = self.next, self.best, self.tokens
+        node, path = 0, [0]
+        for i, b in enumerate(word[:DEEP]):
+            below = down.get(node << 8 | b)
+            if below is None:
                 top, least, ends = -math.inf, 0, self.ends
                 for j in range(i, -1, -1):
                     piece = ends.get(word[j])
@@ -72,15 +81,34 @@ class Trie:
                         break
                     ends, s = piece
                     if s is not None:
-                        s += best[j]
-                        if s > top or (s == top and tokens[j] < least):
-                            top, least = s, tokens[j]
-                node = at[b] = ({}, top, least + 1)
-                self.nodes += 1
-            at, s, n = node
-            best.append(s)
-            tokens.append(n)
-        return tokens[-1]
+                        at = path[j]
+                        s += best[at]
+                        if s > top or (s == top and tokens[at] < least):
+                            top, least = s, tokens[at]
+                below = down[node << 8 | b] = len(best)
+                best.append(top)
+                tokens.append(least + 1)
+            node = below
+            path.append(node)
+        return tokens[node] if len(word) <= DEEP else self._roll(word, [best[n] for n in path], [tokens[n] for n in path])
+
+    def _roll(self, word: bytes, best: list[float], tokens: list[int]) -> int:
+        """The number of tokens of a long word, given the scores of its first ``DEEP`` bytes and before."""
+        size = max(self.longest, DEEP) + 1
+        best, tokens = best + [0.0] * (size - len(best)), tokens + [0] * (size - len(tokens))
+        for i in range(DEEP, len(word)):
+            top, least, ends = -math.inf, 0, self.ends
+            for j in range(i, -1, -1):
+                piece = ends.get(word[j])
+                if piece is None:
+                    break
+                ends, s = piece
+                if s is not None:
+                    s += best[j % size]
+                    if s > top or (s == top and tokens[j % size] < least):
+                        top, least = s, tokens[j % size]
+            best[(i + 1) % size], tokens[(i + 1) % size] = top, least + 1
+        return tokens[len(word) % size]
 
 
 class Counter(dict):
@@ -95,23 +123,29 @@ class Counter(dict):
     def __missing__(self, chunk: str) -> int:
         if len(self) > MOST_WORDS:
             self.clear()
-        if self.trie.nodes > MOST_NODES:
-            self.trie.clear()
+        if len(chunk) > 200:  # one by one, as there may be very many
+            words, n = 0, 0
+            for m in self.split.finditer(chunk):
+                words, n = words + 1, n + self.trie.count(m[0].encode("utf-8", "surrogatepass"))
+            return (n << 32) + words
         words = self.split.findall(chunk)
-        v = (sum(self.trie.count(w.encode("utf-8", "surrogatepass")) for w in words) << 32) + len(words)
-        if len(chunk) <= 200:
-            self[chunk] = v
+        v = self[chunk] = (sum([self.trie.count(w.encode("utf-8", "surrogatepass")) for w in words]) << 32) + len(words)
         return v
 
     def __call__(self, text: str | None) -> tuple[int, int]:
         """(pre-tokens, tokens)"""
-        both = sum(map(self.__getitem__, _CHUNKS.findall(text))) if text else 0
+        if not text:
+            return 0, 0
+        chunks = _CHUNKS.findall(text) if len(text) < 1 << 20 else (m[0] for m in _CHUNKS.finditer(text))
+        both = sum(map(self.__getitem__, chunks))
         return both & 0xFFFFFFFF, both >> 32
 
 
 @lru_cache(maxsize=2)
 def counter(ranks: str, pattern: str) -> Counter:
-    return Counter(ranks, pattern)
+    made = Counter(ranks, pattern)
+    gc.freeze()  # the table of pieces stays for the worker's life
+    return made
 
 
 def token_counter(ranks: str | None = None, pattern: str | None = None) -> Column:
@@ -124,13 +158,7 @@ def token_counter(ranks: str | None = None, pattern: str | None = None) -> Colum
     @F.arrow_udf("n_pretokens long, n_tokens long")
     def count(texts: pa.Array) -> pa.Array:
         of = counter(ranks, pattern)
-        # a trie has no cycles: looking for some among its many nodes takes longer than building it
-        gc.disable()
-        try:
-            got = [of(t.as_py()) for t in texts]
-        finally:
-            gc.freeze()
-            gc.enable()
+        got = [of(t.as_py()) for t in texts]
         return pa.StructArray.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], names=["n_pretokens", "n_tokens"])
 
     return count

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 
 import public_tokenizers as P
 import pytest
@@ -31,17 +32,37 @@ def test_trie_against_plain_viterbi(pieces):
     assert trie.nodes == len({w[:i] for w in words for i in range(1, len(w) + 1)})
 
 
-def test_query_against_brute_force(spark, pieces, monkeypatch):
+def test_query_against_brute_force(spark, pieces):
     sf = "/root/testdata/sf0.001"
     split, known = regex.compile(P.PATTERN), {}
     got = {r.doc_id: r for r in N.query(spark, sf).collect()}
-    for r in table(spark, sf, "documents").collect()[:60]:
+    for r in table(spark, sf, "documents").collect():
         words = split.findall(r.text)
         for w in words:
             known.setdefault(w, brute(pieces, w.encode()))
         assert (got[r.doc_id].n_chars, got[r.doc_id].n_pretokens, got[r.doc_id].n_tokens) == (len(r.text), len(words), sum(known[w] for w in words))
 
 
+def test_long_words_take_no_nodes(pieces):
+    rng, trie = random.Random(2), N.Trie(pieces)
+    for n in (255, 256, 257, 400, 700):
+        for letters in (b"abcdehinorst", b"a", b"-=", bytes(range(128, 256))):
+            w = bytes(rng.choices(letters, k=n))
+            assert trie.count(w) == brute(pieces, w)
+    assert trie.nodes <= 20 * N.DEEP
+
+
+def test_memory_of_a_long_word(pieces):
+    c = N.Counter(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    for text in ("".join(random.Random(1).choices("abcdefgh", k=2_000_000)), "a1" * 500_000):
+        c("warm up")
+        tracemalloc.start()
+        words, n = c(text)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert words == (1 if "1" not in text else len(text)) and n <= len(text) and peak < 10 * len(text)
+
+
 def test_dropping_the_trie_changes_nothing(monkeypatch):
     args = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     text = " ".join(f"w{i * 7919}" for i in range(3000))
