@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keytide.functions.schema import DELETE, N_LEVELS, PUT
 from keytide.operators.readview import collapse_exact, newest
@@ -29,35 +31,50 @@ def latest_only(log: DataFrame) -> DataFrame:
     return newest(log).filter(F.col("op") == PUT)
 
 
-def file_stats(log: DataFrame, file_col: str = "file_num") -> DataFrame:
+def file_stats(log: DataFrame, file_col: str = "file_num", *more: Column) -> DataFrame:
     return log.groupBy(file_col).agg(
-        F.min("key").alias("smallest_key"), F.max("key").alias("largest_key"), F.min("seq").alias("smallest_seq"), F.max("seq").alias("largest_seq"), F.count("*").alias("n_entries")
+        F.min("key").alias("smallest_key"), F.max("key").alias("largest_key"), F.min("seq").alias("smallest_seq"), F.max("seq").alias("largest_seq"), F.count("*").alias("n_entries"), *more
     )
 
 
-def level_scores(manifest: DataFrame, l0_trigger: int = 4, l1_max_bytes: int = 64 << 20) -> DataFrame:
-    """level, n_files, n_bytes, score: file count over the trigger at level 0, bytes over a
-    limit that doubles with each level below; the last level is never compacted."""
-    size = F.coalesce(F.when(F.col("file_size") > 0, F.col("file_size")), F.lit(UNKNOWN_SIZE))
-    per = manifest.filter(F.col("level") < N_LEVELS - 1).groupBy("level").agg(F.count("*").alias("n_files"), F.sum(size).alias("n_bytes"))
-    score = F.when(F.col("level") == 0, F.col("n_files") / F.lit(float(l0_trigger))).otherwise(F.col("n_bytes") / (F.lit(float(l1_max_bytes)) * F.pow(F.lit(2.0), F.col("level") - 1)))
-    return per.select("level", "n_files", "n_bytes", score.alias("score"))
+# what the log says about files is metadata on the driver: some hundred bytes for each data file
 
 
-def pick_compaction(manifest: DataFrame, **limits) -> DataFrame:
-    """0 or 1 row: the level with the highest score of at least 1, the lower one on a tie."""
-    return level_scores(manifest, **limits).filter("score >= 1").orderBy(F.desc("score"), "level").limit(1).select("level", "score")
+def level_scores(files: Iterable, l0_trigger: int = 4, l1_max_bytes: int = 64 << 20) -> list[tuple[int, int, int, float]]:
+    """(level, files, bytes, score) by level: file count over the trigger at level 0, bytes over a
+    limit that doubles with each level below; the last level is never compacted."""
+    per: dict[int, tuple[int, int]] = {}
+    for f in files:
+        n, size = per.get(f.level, (0, 0))
+        per[f.level] = n + 1, size + (f.file_size or UNKNOWN_SIZE)
+    return [(k, n, size, n / l0_trigger if k == 0 else size / (l1_max_bytes * 2.0 ** (k - 1))) for k, (n, size) in sorted(per.items()) if k < N_LEVELS - 1]
 
 
-def overlapping(manifest: DataFrame, level: int, smallest, largest) -> DataFrame:
-    """Files of a level whose closed key interval meets [smallest, largest], by user key."""
-    return manifest.filter((F.col("level") == level) & (F.col("smallest_key") <= F.lit(largest)) & (F.col("largest_key") >= F.lit(smallest)))
+def pick_compaction(files: Iterable, **limits) -> tuple[int, float] | None:
+    """The level with the highest score of at least 1, the lower one on a tie, and its score."""
+    due = [(-score, level) for level, _, _, score in level_scores(files, **limits) if score >= 1]
+    return (min(due)[1], -min(due)[0]) if due else None
 
 
-def live_files(actions: DataFrame) -> DataFrame:
-    """Fold a manifest: a file is live if its last action is an add."""
-    last = F.max_by(F.struct(*[c for c in actions.columns if c not in ("file_num",)]), F.col("version"))
-    return actions.filter(F.col("file_num").isNotNull()).groupBy("file_num").agg(last.alias("x")).filter("x.action = 'add'").select("file_num", "x.*").drop("action", "version")
+def overlapping(files: Iterable, level: int, smallest, largest) -> list:
+    """Files of a level whose closed key interval meets [smallest, largest], by user key."""
+    return [f for f in files if f.level == level and f.smallest_key <= largest and f.largest_key >= smallest]
+
+
+def live_files(actions: Iterable[dict]) -> tuple[dict, set]:
+    """(the last add of each live file, files removed and not forgotten) of actions in the order of their versions."""
+    live: dict = {}
+    gone: set = set()
+    for a in actions:
+        if a["action"] == "add":
+            live[a["file"]] = a
+            gone.discard(a["file"])
+        elif a["action"] == "remove":
+            live.pop(a["file"], None)
+            gone.add(a["file"])
+        elif a["action"] == "forget":
+            gone -= set(a["files"])
+    return live, gone
 
 
 def replay(log: DataFrame, cutoff: int, batch_col: str = "batch") -> DataFrame:

@@ -104,3 +104,13 @@ def changes(log: DataFrame, old: int, new: int) -> DataFrame:
     b = visible(log, new).select("key", F.col("seq").alias("new_seq"), F.col("value").alias("new_value"))
     kind = F.when(F.col("old_seq").isNull(), "added").when(F.col("new_seq").isNull(), "removed").otherwise("changed")
     return a.join(b, "key", "full_outer").filter(~F.col("old_seq").eqNullSafe(F.col("new_seq"))).select("key", "old_seq", "new_seq", kind.alias("change"))
+
+
+def top_versioned(log: DataFrame, k: int) -> DataFrame:
+    """The ``k`` keys with the most versions, by key on a tie."""
+    return log.groupBy("key").agg(F.count("*").alias("n_versions")).orderBy(F.desc("n_versions"), "key").limit(k)
+
+
+def prefix_counts(log: DataFrame, length: int, as_of: int | None = None) -> DataFrame:
+    """For each prefix of ``length`` of the live keys: how many there are, and the newest number among them."""
+    return visible(log, as_of).groupBy(F.substring("key", 1, length).alias("prefix")).agg(F.count("*").alias("n_keys"), F.max("seq").alias("newest_seq"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from keytide.functions.folders import scratch
 from keytide.functions.schema import DELETE, PUT
 from keytide.operators import compaction as C, readview as R
+from keytide.operators.asof import as_of_join
+from keytide.sources.table import Config, KVTable
 
 S, LATE, HOT, GONE = 5000, 7500, "user:00000007", "user:99999999"
 A, B = "user:00000020", "user:00000060"
@@ -41,6 +45,9 @@ def read_sql(where: str = "true", log: str = LOG, source: str = "log", out: str
 BATCH = [("user:batch-1", 1, "first"), ("user:batch-2", 1, "second"), ("user:00000007", 2, None), ("user:batch-1", 1, "third")]
 BATCH_SQL = "(SELECT * FROM log UNION ALL SELECT k, (SELECT max(seq) FROM log) + i, o, v FROM (VALUES " + ", ".join(f"('{k}', {i}, {o}, {'NULL' if v is None else repr(v)})" for i, (k, o, v) in enumerate(BATCH, 1)) + ") b(k, i, o, v))"
 
+LAST = ("user:batch-2", "last")
+LAST_SQL = f"(SELECT * FROM {BATCH_SQL} UNION ALL SELECT '{LAST[0]}', (SELECT max(seq) FROM log) + {len(BATCH) + 1}, 1, '{LAST[1]}')"
+
 
 def with_batch(spark: SparkSession, sf: str, batch: list[tuple]) -> DataFrame:
     """The log with one more batch: consecutive numbers after its head."""
@@ -61,8 +68,17 @@ SCORES_SQL = f"""WITH {MANIFEST_SQL}, p AS (SELECT level, count(*) AS n_files, C
 ACTIONS = [(1, "add", 1, 10), (2, "add", 2, 20), (3, "remove", 1, None), (4, "add", 3, 30), (5, "cutoff", None, 10), (6, "remove", 9, None), (7, "add", 1, 11), (8, "remove", 3, None)]
 
 
-def manifest(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MANIFEST, "file_num long, level int, smallest_seq long, largest_seq long, smallest_key string, largest_key string, file_size long")
+File = namedtuple("File", MANIFEST_COLS)
+FILES = [File(*r) for r in MANIFEST]
+
+
+def _rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _live(spark: SparkSession) -> DataFrame:
+    live, _ = C.live_files({"action": a, "file": f, "largest_seq": s} for _, a, f, s in ACTIONS)
+    return _rows(spark, [(f, a["largest_seq"]) for f, a in live.items()], "file_num long, largest_seq long")
 
 
 def gc_sql(oldest: str) -> str:
@@ -79,31 +95,46 @@ def _replayed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _as_of(spark: SparkSession, sf: str) -> DataFrame:
-    """For each order, by number, the visible value of one user's key as of that sequence: an as-of join as an arg-max."""
-    versions = events_log(spark, sf).filter(F.col("key") == HOT).select(F.col("seq").alias("vseq"), "op")
-    both = orders_log(spark, sf).select("seq", F.lit(True).alias("probe"), F.lit(None).cast("long").alias("vseq"), F.lit(None).cast("int").alias("op")).unionByName(
-        versions.select(F.col("vseq").alias("seq"), F.lit(False).alias("probe"), "vseq", "op"))
-    # bounded blocks of sequence numbers: the newest version before a block is carried in, so no window spans the log
-    block = both.withColumn("block", F.floor(F.col("seq") / 4096))
-    return _carried(block).filter("probe").select("seq", F.when(F.col("v.op") == PUT, F.col("v.vseq")).alias("as_of_seq"))
+    """For each order, by number, the version of one user's key that is visible there."""
+    probes = orders_log(spark, sf).select(F.lit(HOT).alias("key"), "seq")
+    return as_of_join(probes, events_log(spark, sf).filter(F.col("key") == HOT)).select("seq", "as_of_seq")
+
 
+def _as_of_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """For each order, the version of its customer's user key that a snapshot at its number sees."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    key = F.concat(F.lit("user:"), F.lpad((F.col("o_custkey") % 200).cast("string"), 8, "0"))
+    return as_of_join(orders.select("o_orderkey", key.alias("key"), (F.col("o_orderkey") + 1).alias("seq")), events_log(spark, sf))
 
-def _carried(block: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
 
-    last = block.groupBy("block").agg(F.max_by(F.when(~F.col("probe"), F.struct("vseq", "op")), F.when(~F.col("probe"), F.col("seq"))).alias("last"))
-    carry = last.select("block", F.last("last", True).over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
-    w = Window.partitionBy("block").orderBy("seq", "probe").rowsBetween(Window.unboundedPreceding, 0)
-    return block.join(carry, "block").withColumn("v", F.coalesce(F.last(F.when(~F.col("probe"), F.struct("vseq", "op")), True).over(w), F.col("carry")))
+def _written(spark: SparkSession, sf: str) -> KVTable:
+    """The events and a batch, written through a stored table."""
+    t = KVTable.open(spark, scratch(spark), Config(auto_compact=False))
+    t.load_changelog(events_log(spark, sf))
+    t.write([("delete", k) if o == DELETE else ("put", k, v) for k, o, v in BATCH])
+    return t
+
+
+def _round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Bulk load, batch, flush, scan."""
+    t = _written(spark, sf)
+    t.flush()
+    return t.scan()
+
+
+def _compact_reopen(spark: SparkSession, sf: str) -> DataFrame:
+    """Bulk load, batch, flush, compaction, a put that only the write log has, reopening, scan."""
+    t = _written(spark, sf)
+    t.flush()
+    t.compact(0)
+    t.put(*LAST)
+    return KVTable.open(spark, t.path).scan()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def on(f, log=events_log):
         return lambda spark, sf: f(log(spark, sf))
 
-    def keyed(name: str, *extra):
-        return [F.col(c) for c in ("key", "seq", "op")] + list(extra)
-
     return {
         "get_latest": on(lambda x: R.get(x, HOT)),
         "get_missing": on(lambda x: R.get(x, GONE)),
@@ -132,17 +163,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "compact_with_snapshot": on(lambda x: C.survivors(x, S).select("key", "seq", "op")),
         "compaction_preserves_reads": on(lambda x: R.scan_all(C.survivors(x, S), LATE)),
         "flush_file_stats": _simulated_files,
-        "level_scores": lambda spark, sf: C.level_scores(manifest(spark)),
-        "pick_compaction": lambda spark, sf: C.pick_compaction(manifest(spark)),
-        "overlapping_files": lambda spark, sf: C.overlapping(manifest(spark), 1, "b", "d").select("file_num", "level", "smallest_key", "largest_key"),
-        "manifest_live_files": lambda spark, sf: C.live_files(spark.createDataFrame(ACTIONS, "version long, action string, file_num long, largest_seq long")),
+        "level_scores": lambda spark, sf: _rows(spark, C.level_scores(FILES), "level int, n_files long, n_bytes long, score double"),
+        "pick_compaction": lambda spark, sf: _rows(spark, [C.pick_compaction(FILES)], "level int, score double"),
+        "overlapping_files": lambda spark, sf: _rows(spark, [(f.file_num, f.level, f.smallest_key, f.largest_key) for f in C.overlapping(FILES, 1, "b", "d")], "file_num long, level int, smallest_key string, largest_key string"),
+        "manifest_live_files": lambda spark, sf: _live(spark),
         "wal_replay_above_cutoff": _replayed,
         "snapshot_read_seq": on(R.head_seq),
         "ext_multi_get": lambda spark, sf: R.multi_get(events_log(spark, sf), orders_log(spark, sf).select(F.regexp_replace("key", "order:0000", "user:").alias("key"))),
         "ext_snapshot_diff": on(lambda x: R.changes(x, S, LATE)),
-        "ext_top_versioned_keys": on(lambda x: x.groupBy("key").agg(F.count("*").alias("n_versions")).orderBy(F.desc("n_versions"), "key").limit(10)),
-        "ext_prefix_counts": on(lambda x: R.scan_all(x).groupBy(F.substring("key", 1, 12).alias("prefix")).agg(F.count("*").alias("n_keys"), F.max("seq").alias("newest_seq"))),
+        "ext_top_versioned_keys": on(lambda x: R.top_versioned(x, 10)),
+        "ext_prefix_counts": on(lambda x: R.prefix_counts(x, 12)),
         "ext_as_of_join": _as_of,
+        "ext_as_of_join_keys": _as_of_keys,
+        "table_round_trip": _round_trip,
+        "table_compact_reopen": _compact_reopen,
     }
 
 
@@ -194,4 +228,8 @@ def oracle_sql() -> dict[str, str]:
         "ext_prefix_counts": r().replace("SELECT key, seq, value FROM v", "SELECT substr(key, 1, 12) AS prefix, count(*) AS n_keys, max(seq) AS newest_seq FROM v") + " GROUP BY 1",
         "ext_as_of_join": f"""WITH {LOG}, o AS (SELECT o_orderkey + 1 AS seq FROM orders), h AS (SELECT seq AS vseq, op FROM log WHERE {key})
  SELECT o.seq, CASE WHEN h.op = 1 THEN h.vseq END AS as_of_seq FROM o ASOF LEFT JOIN h ON o.seq >= h.vseq""",
+        "ext_as_of_join_keys": f"""WITH {LOG}, o AS (SELECT o_orderkey, 'user:' || lpad(CAST(o_custkey % 200 AS VARCHAR), 8, '0') AS key, o_orderkey + 1 AS seq FROM orders)
+ SELECT o.o_orderkey, o.key, o.seq, CASE WHEN h.op = 1 THEN h.seq END AS as_of_seq, CASE WHEN h.op = 1 THEN h.value END AS as_of_value FROM o ASOF LEFT JOIN log h ON o.key = h.key AND o.seq >= h.seq""",
+        "table_round_trip": over,
+        "table_compact_reopen": r("true", source=LAST_SQL),
     }

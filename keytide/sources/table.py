@@ -1,11 +1,14 @@
 """KVTable: a changelog stored as Parquet files under an atomic commit log.
 
-Single writer, many readers. Single puts wait in a buffer on the driver and become durable with the
-commit that ``flush`` (or a full buffer) makes; bulk writes go from executors straight to files.
+Single writer, many readers. A single write is in the write log before it returns (with ``sync_writes``, the default, on the
+device) and waits in a buffer on the driver for the commit that ``flush`` (or a full buffer) makes; whoever opens the table reads what
+the write log has beyond the last flush. Bulk writes go from executors straight to files. If a flush, a commit or the write log fails, the error
+stays: nothing is dropped from the buffer, further calls raise, and reopening recovers what was acknowledged.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import dataclass, replace
 
@@ -15,11 +18,14 @@ from keytide.functions.keys import as_bytes, has_prefix, in_range, literal, succ
 from keytide.functions.schema import DELETE, MAX_SEQ, N_LEVELS, PUT, InvalidRecord, KeyNotFound, changelog_schema, check_key, normalise
 from keytide.operators import compaction, readview
 from keytide.sources.commitlog import CommitLog
+from keytide.sources.writelog import WriteLog
 
 
 @dataclass(frozen=True)
 class Config:
-    """Omitted fields keep their defaults. ``block_size`` is the Parquet row group, in which readers skip by key."""
+    """Omitted fields keep their defaults. ``block_size`` is the Parquet row group, in which readers skip by key; ``wal_dir`` the folder of
+    the write log (``_wal`` in the table if None); ``auto_compact`` takes a step of compaction after a write to level 0 if a level is due;
+    the commit log is folded every ``checkpoint_every`` commits."""
 
     buffer_bytes: int = 4 << 20
     l0_trigger: int = 4
@@ -28,9 +34,11 @@ class Config:
     block_size: int = 16 << 20
     target_file_bytes: int = 256 << 20
     bloom: bool = True
-    sync_writes: bool = False
-    auto_compact: bool = False
+    sync_writes: bool = True
+    auto_compact: bool = True
     key_type: str = "string"
+    wal_dir: str | None = None
+    checkpoint_every: int = 64
 
 
 @dataclass(frozen=True)
@@ -75,24 +83,24 @@ class KVTable:
     def __init__(self, spark: SparkSession, path: str, config: Config):
         self.spark, self.path, self.config = spark, path.rstrip("/"), config
         self.log = CommitLog(spark, self.path)
+        self.writer = uuid.uuid4().hex
         self._buffer: list[tuple] = []
         self._buffered_bytes = 0
         self._pins: dict[int, Snapshot] = {}
         self._error: Exception | None = None
-        self._closed = False
+        self._closed = self._wrote = False
         self.version, actions = self.log.replay()
-        self._files: dict[str, DataFile] = {}
-        self._obsolete: set[str] = set()
-        self.next_seq = 1
+        live, self._obsolete = compaction.live_files(actions)
+        self._files = {f: DataFile.of(a) for f, a in live.items()}
+        self.next_seq, self.cutoff, last_writer = 1, 0, ""
         self.applied: dict[str, int] = {}
         for a in actions:
-            if a["action"] == "add":
-                self._files[a["file"]] = DataFile.of(a)
-            elif a["action"] == "remove":
-                self._files.pop(a["file"], None)
-                self._obsolete.add(a["file"])
-            elif a["action"] == "seq":
+            if a["action"] == "seq":
                 self.next_seq = max(self.next_seq, a["next_seq"])
+            elif a["action"] == "cutoff":
+                self.cutoff = max(self.cutoff, a["seq"])
+            elif a["action"] == "writer":
+                last_writer = a["writer"]
             elif a["action"] == "stream":
                 self.applied[a["stream"]] = a["batch"]
             elif a["action"] == "config":
@@ -100,6 +108,12 @@ class KVTable:
         for f in self._files:
             if not self.log.fs.exists(self.log._path(f"{self.path}/{f}")):
                 raise FileNotFoundError(f"{self.path}/{f} is in the log but not in storage")
+        self.wal = WriteLog(spark, self.config.wal_dir or f"{self.path}/_wal", self.writer, self.config.sync_writes)
+        self._recovered = [s.name for s in self.wal.segments()]
+        rows, _ = self.wal.replay(self.cutoff, (self.version, last_writer))
+        if rows:
+            self._hold(rows)
+            self.next_seq = max(self.next_seq, rows[-1][1] + 1)
         if self.version < 0:
             self._commit([{"action": "config", "key_type": self.config.key_type}])
 
@@ -113,12 +127,13 @@ class KVTable:
         if self._closed:
             raise RuntimeError("the table is closed")
         if self._error is not None:
-            raise RuntimeError("an earlier commit failed; reopen the table") from self._error
+            raise RuntimeError("an earlier write failed; reopen the table") from self._error
 
     def _commit(self, actions: list[dict]) -> None:
         try:
-            self.log.commit(self.version + 1, actions)
+            self.log.commit(self.version + 1, [*actions, {"action": "writer", "writer": self.writer}])
             self.version += 1
+            self._wrote = True
         except Exception as e:
             self._error = e
             raise
@@ -130,6 +145,10 @@ class KVTable:
             raise InvalidRecord("out of sequence numbers")
         return base
 
+    def _hold(self, rows: list[tuple]) -> None:
+        self._buffer += rows
+        self._buffered_bytes += sum(len(r[0]) + len(r[3] or "") + 16 for r in rows)
+
     def put(self, key, value) -> int:
         return self.write([("put", key, value)])
 
@@ -139,7 +158,7 @@ class KVTable:
 
     def write(self, batch: list[tuple]) -> int:
         """An atomic batch of ("put", key, value) and ("delete", key): consecutive numbers in order, so
-        the later record on a key wins; returns the last number."""
+        the later record on a key wins; returns the last number. Nothing is acknowledged that the write log doesn't hold."""
         self._ready()
         if not batch:
             raise InvalidRecord("empty batch")
@@ -149,9 +168,14 @@ class KVTable:
                 raise InvalidRecord(op)
         base, empty = self._take(len(batch)), "" if self.config.key_type == "string" else b""
         rows = [(key, base + i, PUT, v[0] if v and v[0] is not None else empty) if op == "put" else (key, base + i, DELETE, None) for i, (op, key, *v) in enumerate(batch)]
-        self._buffer += rows
-        self._buffered_bytes += sum(len(r[0]) + len(r[3] or "") + 16 for r in rows)
-        if self.config.sync_writes or self._buffered_bytes >= self.config.buffer_bytes:
+        try:
+            self.wal.append(rows, self.version)
+        except Exception as e:
+            self._error = e
+            raise
+        self._wrote = True
+        self._hold(rows)
+        if self._buffered_bytes >= self.config.buffer_bytes:
             self.flush()
         return base + len(batch) - 1
 
@@ -171,10 +195,13 @@ class KVTable:
             if not n:
                 raise InvalidRecord("empty batch")
             base = self._take(n)
-            self._add(compaction.dense_seqs(staged, base), level=0, mark=mark)
-            return base + n - 1
+            # a large batch is dealt out by key ranges, so that reads skip most of its files
+            parts = self.log.fs.getContentSummary(self.log._path(stage)).getLength() // self.config.target_file_bytes
+            self._add(compaction.dense_seqs(staged, base), level=0, parts=parts + 1 if parts else 0, mark=mark, cutoff=base + n - 1)
         finally:
             self.log.fs.delete(self.log._path(stage), True)
+        self._after_level0()
+        return base + n - 1
 
     def load_changelog(self, log: DataFrame) -> int:
         """Take over a changelog that has its sequence numbers, into a table without any rows; returns the last number."""
@@ -182,36 +209,53 @@ class KVTable:
         if self._files or self._buffer:
             raise RuntimeError("the table isn't empty")
         self.next_seq = max(self.next_seq, (log.agg(F.max("seq")).first()[0] or 0) + 1)
-        self._add(log.select("key", "seq", "op", "value"), level=0)
+        self._add(log.select("key", "seq", "op", "value"), level=0, cutoff=self.next_seq - 1)
+        self._after_level0()
         return self.next_seq - 1
 
     def flush(self) -> None:
-        """Make buffered records durable as one commit."""
+        """Put buffered records into files by one commit; they leave the buffer and the write log after it."""
         if self._buffer:
             self._ready()
-            rows, self._buffer, self._buffered_bytes = self._buffer, [], 0
-            self._add(self.spark.createDataFrame(rows, changelog_schema(self.config.key_type)).coalesce(1), level=0)
-
-    def _add(self, log: DataFrame, level: int, removed: list[DataFile] = (), parts: int = 0, mark: tuple[str, int] | None = None) -> list[DataFile]:
-        """Write files and publish them, with the removals, as one commit."""
+            rows = self._buffer
+            try:
+                self._add(self.spark.createDataFrame(rows, changelog_schema(self.config.key_type)).coalesce(1), level=0, cutoff=rows[-1][1])
+            except Exception as e:
+                self._error = e
+                raise
+            self._buffer, self._buffered_bytes = [], 0
+            self.wal.drop(self.wal.rotate() + self._recovered)
+            self._recovered = []
+            self._after_level0()
+
+    def _after_level0(self) -> None:
+        """One step of compaction if it is due; files of one bulk write don't overlap and count as one at level 0."""
+        level = self.pick_level() if self.config.auto_compact else None
+        if level is not None and (level or len({f.file.rsplit("/", 1)[0] for f in self.files(0)}) >= self.config.l0_trigger):
+            self.compact(level)
+
+    def _add(self, log: DataFrame, level: int, removed: list[DataFile] = (), parts: int = 0, mark: tuple[str, int] | None = None, cutoff: int = 0) -> list[DataFile]:
+        """Write files and publish them, with the removals, as one commit. Up to ``cutoff``, all acknowledged writes are in files then."""
         log = normalise(log)
         log = log.repartitionByRange(parts, "key") if parts else log
         into = f"data/{uuid.uuid4().hex}"
         w = log.sortWithinPartitions("key", F.desc("seq"), "op").write.option("compression", self.config.compression).option("parquet.block.size", self.config.block_size)
         if self.config.bloom:
-            w = w.option("parquet.bloom.filter.enabled#key", "true")
+            w = w.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
         w.parquet(f"{self.path}/{into}")
         new = self._stats(into, level)
         marks = [{"action": "stream", "stream": mark[0], "batch": mark[1]}] if mark else []
+        marks += [{"action": "cutoff", "seq": cutoff}] if cutoff else []
         self._commit([f.action() for f in new] + [{"action": "remove", "file": f.file} for f in removed] + marks + [{"action": "seq", "next_seq": self.next_seq}])
+        self.cutoff = max(self.cutoff, cutoff)
         if mark:
             self.applied[mark[0]] = mark[1]
         self._files |= {f.file: f for f in new}
         for f in removed:
             self._files.pop(f.file, None)
             self._obsolete.add(f.file)
-        if level == 0 and self.config.auto_compact:
-            self.compact()
+        if self.version - self.log.base >= self.config.checkpoint_every:
+            self.checkpoint()
         return new
 
     def _stats(self, into: str, level: int) -> list[DataFile]:
@@ -219,8 +263,8 @@ class KVTable:
             return []
         df = self.spark.read.schema(changelog_schema(self.config.key_type)).parquet(f"{self.path}/{into}")
         named = df.select("key", "seq", F.col("_metadata.file_name").alias("file_num"), F.col("_metadata.file_size").alias("size"))
-        stats = named.groupBy("file_num").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("seq").alias("c"), F.max("seq").alias("d"), F.count("*").alias("n"), F.max("size").alias("s"))
-        return [DataFile(f"{into}/{r.file_num}", level, as_bytes(r.a), as_bytes(r.b), r.c, r.d, r.n, r.s) for r in stats.collect()]
+        stats = compaction.file_stats(named, "file_num", F.max("size").alias("size")).collect()
+        return [DataFile(f"{into}/{r.file_num}", level, as_bytes(r.smallest_key), as_bytes(r.largest_key), r.smallest_seq, r.largest_seq, r.n_entries, r.size) for r in stats]
 
     # reads
 
@@ -281,19 +325,18 @@ class KVTable:
     def files(self, level: int | None = None) -> list[DataFile]:
         return sorted((f for f in self._files.values() if level is None or f.level == level), key=lambda f: (f.level, f.smallest_key))
 
+    def _limits(self) -> dict:
+        return {"l0_trigger": self.config.l0_trigger, "l1_max_bytes": self.config.l1_max_bytes}
+
     def scores(self) -> dict[int, float]:
-        c, by = self.config, {}
-        for f in self._files.values():
-            n, size = by.get(f.level, (0, 0))
-            by[f.level] = n + 1, size + (f.file_size or compaction.UNKNOWN_SIZE)
-        return {k: n / c.l0_trigger if k == 0 else size / (c.l1_max_bytes * 2 ** (k - 1)) for k, (n, size) in sorted(by.items()) if k < N_LEVELS - 1}
+        return {level: score for level, _, _, score in compaction.level_scores(self._files.values(), **self._limits())}
 
     def pick_level(self) -> int | None:
-        due = [(-s, k) for k, s in self.scores().items() if s >= 1]
-        return min(due)[1] if due else None
+        due = compaction.pick_compaction(self._files.values(), **self._limits())
+        return due and due[0]
 
     def overlapping(self, level: int, smallest: bytes, largest: bytes) -> list[DataFile]:
-        return [f for f in self.files(level) if f.smallest_key <= largest and f.largest_key >= smallest]
+        return compaction.overlapping(self.files(), level, smallest, largest)
 
     def compact(self, level: int | None = None) -> list[DataFile]:
         """Merge a level (the one most due if None) into the next: one commit adds and removes."""
@@ -322,7 +365,11 @@ class KVTable:
         log = self.spark.read.schema(changelog_schema(self.config.key_type)).parquet(*(f"{self.path}/{f.file}" for f in inputs))
         kept = compaction.survivors(log, self.oldest_snapshot, bottom) if retain_history else compaction.latest_only(log)
         parts = max(1, -(-sum(f.file_size for f in inputs) // self.config.target_file_bytes))
-        return self._add(kept, target, inputs, parts)
+        try:
+            return self._add(kept, target, inputs, parts)
+        except Exception as e:
+            self._error = e
+            raise
 
     def checkpoint(self) -> None:
         """Fold the log into the files that live, those still to be deleted, and the next number."""
@@ -330,20 +377,42 @@ class KVTable:
         live = [f.action() for f in self._files.values()]
         gone = [{"action": "remove", "file": f} for f in sorted(self._obsolete)]
         marks = [{"action": "stream", "stream": k, "batch": v} for k, v in self.applied.items()]
+        marks += [{"action": "cutoff", "seq": self.cutoff}, {"action": "writer", "writer": self.writer}]
         self.log.checkpoint(self.version, gone + live + marks + [{"action": "seq", "next_seq": self.next_seq}, {"action": "config", "key_type": self.config.key_type}])
 
-    def vacuum(self) -> list[str]:
-        """Delete files that no live version and no pinned snapshot needs."""
+    def vacuum(self, orphan_seconds: float = 86_400.0) -> list[str]:
+        """Delete files that no live version and no pinned snapshot needs, and data and staged files that no commit has named for
+        ``orphan_seconds``, as a crash leaves them; returns what is gone. A file that can't be deleted is kept in mind."""
+        self._ready()
         pinned = {f.file for s in self._pins.values() for f in s.files}
-        gone = [f for f in sorted(self._obsolete) if f not in pinned and f not in self._files]
-        for f in gone:
-            self.log.fs.delete(self.log._path(f"{self.path}/{f}"), False)
-            self._obsolete.discard(f)
-        return gone
+        gone = [f for f in sorted(self._obsolete) if f not in pinned and f not in self._files and self._delete(f)]
+        if gone:
+            self._commit([{"action": "forget", "files": gone}])
+            self._obsolete -= set(gone)
+        return gone + self._orphans(pinned, orphan_seconds)
+
+    def _delete(self, name: str) -> bool:
+        path = self.log._path(f"{self.path}/{name}")
+        self.log.fs.delete(path, True)
+        return not self.log.fs.exists(path)
+
+    def _orphans(self, pinned: set[str], seconds: float) -> list[str]:
+        fs, path, known, out = self.log.fs, self.log._path, pinned | self._files.keys() | self._obsolete, []
+        for kind in ("data", "_stage"):
+            top = path(f"{self.path}/{kind}")
+            for folder in fs.listStatus(top) if fs.exists(top) else []:
+                inside = {f"{kind}/{folder.getPath().getName()}/{s.getPath().getName()}": s for s in fs.listStatus(folder.getPath())}
+                newest = max([folder.getModificationTime(), *(s.getModificationTime() for s in inside.values())])
+                if not inside.keys() & known and newest / 1000 < time.time() - seconds:
+                    name = f"{kind}/{folder.getPath().getName()}"
+                    out += [name] if self._delete(name) else []
+        return out
 
     def close(self) -> None:
+        """Flush and clean up, if this instance has written; what it only read stays as it is, in the write log too."""
         if not self._closed:
-            if self._error is None:
+            if self._error is None and self._wrote:
                 self.flush()
-            self.vacuum()
+                self.vacuum()
+            self.wal.rotate()
             self._closed = True

@@ -10,7 +10,7 @@ from keytide.functions.keys import successor
 from keytide.functions.schema import InvalidRecord, KeyNotFound
 from keytide.operators import compaction as C, readview as R
 from keytide.sources.cli import Shell
-from keytide.sources.commitlog import CommitConflict, CorruptLog
+from keytide.sources.commitlog import CommitConflict, CommitLog, CorruptLog, UnsafeStore
 from keytide.sources.table import Config, KVTable
 from keytide.streaming.ingest import into_table, latest_state
 
@@ -20,6 +20,12 @@ def table(spark, tmp_path):
     return KVTable.open(spark, str(tmp_path / "t"))
 
 
+@pytest.fixture
+def plain(spark, tmp_path):
+    """A table that compacts only when it is told to."""
+    return KVTable.open(spark, str(tmp_path / "t"), Config(auto_compact=False))
+
+
 def pairs(df):
     return [(r.key, r.value) for r in df.collect()]
 
@@ -99,7 +105,8 @@ def test_successor():
     assert successor("a\U0010ffff") == "b" and successor("퟿") == ""
 
 
-def test_levels_compaction_keeps_reads(table, spark, tmp_path):
+def test_levels_compaction_keeps_reads(plain, spark, tmp_path):
+    table = plain
     for i in range(5):
         table.put(f"key{i}", f"val{i}")
         if i == 4:
@@ -229,6 +236,161 @@ def test_random_traces_match_a_model(spark, tmp_path):
             assert pairs(t.scan(s)) == view(at)
 
 
+def segment(tmp_path, name="t"):
+    return sorted((tmp_path / name / "_wal").glob("*.log"))
+
+
+def test_single_writes_survive_a_crash(table, spark, tmp_path):
+    table.put("a", "1")
+    table.write([("put", "b", "2"), ("delete", "a")])
+    again = KVTable.open(spark, str(tmp_path / "t"))  # the first one never flushed
+    assert pairs(again.scan()) == [("b", "2")] and again.next_seq == 4 and not again.files()
+    again.close()  # a reader leaves the write log as it is
+    assert len(segment(tmp_path)) == 1
+    third = KVTable.open(spark, str(tmp_path / "t"))
+    third.put("c", "3")
+    third.close()
+    assert segment(tmp_path) == [] and pairs(KVTable.open(spark, str(tmp_path / "t")).scan()) == [("b", "2"), ("c", "3")]
+
+
+def test_binary_and_odd_values_in_the_write_log(spark, tmp_path):
+    t = KVTable.open(spark, str(tmp_path / "t"), Config(key_type="binary", sync_writes=False, wal_dir=str(tmp_path / "elsewhere")))
+    t.put(b"\x00\xff", b"\xfe")
+    t.put(b"k", None)
+    assert (tmp_path / "elsewhere").exists() and not (tmp_path / "t" / "_wal").exists()
+    again = KVTable.open(spark, str(tmp_path / "t"), Config(wal_dir=str(tmp_path / "elsewhere")))
+    assert [(bytes(r.key), bytes(r.value)) for r in again.scan().collect()] == [(b"\x00\xff", b"\xfe"), (b"k", b"")]
+
+
+def test_torn_and_damaged_write_logs(table, spark, tmp_path):
+    table.put("a", "1")
+    table.put("b", "2")
+    (f,) = segment(tmp_path)
+    whole = f.read_bytes()
+    f.write_bytes(whole[:-3])
+    assert pairs(KVTable.open(spark, str(tmp_path / "t")).scan()) == [("a", "1")]
+    f.write_bytes(whole[:20] + bytes([whole[20] ^ 1]) + whole[21:])
+    with pytest.raises(CorruptLog):
+        KVTable.open(spark, str(tmp_path / "t"))
+
+
+def broken(*_, **__):
+    raise OSError("disk")
+
+
+@pytest.mark.parametrize("step", ["rows", "files", "statistics", "commit"])
+def test_a_failed_flush_loses_nothing_and_stays(table, spark, tmp_path, monkeypatch, step):
+    table.put("a", "1")
+    table.flush()
+    table.put("b", "2")
+    table.delete("a")
+    with monkeypatch.context() as m:
+        if step == "rows":
+            m.setattr(table, "_add", broken)
+        elif step == "files":
+            m.setattr("keytide.sources.table.normalise", broken)
+        elif step == "statistics":
+            m.setattr(table, "_stats", broken)
+        else:
+            m.setattr(table.log, "commit", broken)
+        with pytest.raises(OSError):
+            table.flush()
+    for call in (table.flush, lambda: table.put("c", "3"), lambda: table.get("b"), table.compact):
+        with pytest.raises(RuntimeError):
+            call()
+    table.close()
+    again = KVTable.open(spark, str(tmp_path / "t"))
+    assert pairs(again.scan()) == [("b", "2")] and again.next_seq == 4
+    again.put("c", "3")
+    again.flush()
+    assert pairs(KVTable.open(spark, str(tmp_path / "t")).scan()) == [("b", "2"), ("c", "3")]
+
+
+def test_a_write_that_the_log_refuses_is_not_acknowledged(table, spark, tmp_path, monkeypatch):
+    table.put("a", "1")
+    monkeypatch.setattr(table.wal, "append", broken)
+    with pytest.raises(OSError):
+        table.put("b", "2")
+    with pytest.raises(RuntimeError):
+        table.put("c", "3")
+    assert pairs(KVTable.open(spark, str(tmp_path / "t")).scan()) == [("a", "1")]
+
+
+def test_an_overtaken_writer_is_left_out(table, spark, tmp_path):
+    other = KVTable.open(spark, str(tmp_path / "t"))
+    for i in range(3):
+        other.put(f"late{i}", "x")
+    table.put("a", "1")
+    table.flush()
+    with pytest.raises(CommitConflict):
+        other.flush()
+    assert pairs(KVTable.open(spark, str(tmp_path / "t")).scan()) == [("a", "1")]
+
+
+def test_a_full_buffer_is_flushed(spark, tmp_path):
+    t = KVTable.open(spark, str(tmp_path / "t"), Config(buffer_bytes=200, auto_compact=False))
+    for i in range(15):
+        t.put(f"key{i:04d}", "v" * 30)
+    assert len(t.files(0)) >= 2 and t.scan().count() == 15 == KVTable.open(spark, str(tmp_path / "t")).scan().count()
+
+
+def test_compaction_and_checkpoints_come_by_themselves(spark, tmp_path):
+    t = KVTable.open(spark, str(tmp_path / "t"), Config(l0_trigger=3, checkpoint_every=4))
+    for i in range(7):
+        t.put(f"k{i % 4}", str(i))
+        t.flush()
+    assert len(t.files(0)) < 3 and len(t.files(1)) == 1
+    names = os.listdir(tmp_path / "t" / "_log")
+    assert sum(n.endswith(".checkpoint") and n[0] != "." for n in names) == 1 and sum(n.endswith(".json") and n[0] != "." for n in names) <= 4
+    t.put("unflushed", "1")
+    t.checkpoint()
+    again = KVTable.open(spark, str(tmp_path / "t"))
+    assert pairs(again.scan()) == pairs(t.scan()) and again.next_seq == t.next_seq and again.files() == t.files()
+
+
+def test_vacuum_remembers_and_finds(plain, spark, tmp_path, monkeypatch):
+    for k in "ab":
+        plain.put(k, k)
+        plain.flush()
+    plain.compact(0)
+    with monkeypatch.context() as m:
+        m.setattr(plain, "_delete", lambda name: False)
+        assert plain.vacuum() == [] and len(plain._obsolete) == 2
+    assert len(KVTable.open(spark, str(tmp_path / "t"))._obsolete) == 2
+    assert len(plain.vacuum()) == 2
+    again = KVTable.open(spark, str(tmp_path / "t"))
+    assert again._obsolete == set() and again.vacuum() == []
+    for name in ("data/crashed", "_stage/crashed"):
+        (tmp_path / "t" / name).mkdir(parents=True)
+        (tmp_path / "t" / name / "part-0.parquet").write_bytes(b"x")
+    assert again.vacuum() == []
+    assert {"data/crashed", "_stage/crashed"} <= set(again.vacuum(orphan_seconds=-1.0))
+    assert pairs(again.scan()) == [("a", "a"), ("b", "b")]
+
+
+def test_large_bulk_writes_are_dealt_by_key(spark, tmp_path):
+    t = KVTable.open(spark, str(tmp_path / "t"), Config(target_file_bytes=2000, auto_compact=False))
+    t.write_frame(spark.range(2000).selectExpr("concat('k', lpad(id * 7919 % 2000, 4, '0')) key", "string(id) value").repartition(3))
+    files = t.files(0)
+    assert len(files) > 2 and all(a.largest_key < b.smallest_key for a, b in zip(files, files[1:]))
+    assert len(t.changelog(start="k0000", end="k0001").inputFiles()) == 1 and t.scan().count() == 2000
+
+
+def test_publishing_by_rename_refuses_an_existing_version(table, spark, tmp_path):
+    for part in (table.log, table.wal):
+        part.local = False
+    table.put("a", "1")
+    table.put("b", "2")
+    assert len(segment(tmp_path)) == 2
+    table.flush()
+    assert segment(tmp_path) == [] and pairs(KVTable.open(spark, str(tmp_path / "t")).scan()) == [("a", "1"), ("b", "2")]
+    with pytest.raises(CommitConflict):
+        table.log.commit(table.version, [])
+    table.checkpoint(), table.checkpoint()
+    with pytest.raises(UnsafeStore):
+        CommitLog(spark, "http://localhost/t")
+
+
 def test_equal_sequence_prefers_the_put(spark):
     log = spark.createDataFrame([("a", 10, 1, "x"), ("a", 9, 2, None), ("a", 9, 1, "y"), ("b", 1, 1, "z")], "key string, seq long, op int, value string")
     assert [(r.key, r.seq, r.op) for r in R.history(log).collect()] == [("a", 10, 1), ("a", 9, 1), ("a", 9, 2), ("b", 1, 1)]
