@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from keytide.functions.folders import remove, scratch
 from keytide.functions.workers import ship
 
 AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -17,8 +15,9 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z in lower case, everything else as it is; null becomes empty."""
-    return F.translate(F.coalesce(text, F.lit("")), AZ, AZ.lower())
+    """A-Z in lower case, everything else as it is; null becomes empty. Several times faster where all is ASCII."""
+    t = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, AZ, AZ.lower()))
 
 
 def alnum_words(text: Column) -> Column:
@@ -31,35 +30,11 @@ def row_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), F.length(text))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one set here for a local session."""
-    set_in = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if set_in is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        set_in = tempfile.mkdtemp(prefix="keytide-")
-        spark.sparkContext.setCheckpointDir(set_in)
-        set_in = spark.sparkContext.getCheckpointDir()
-    return f"{set_in.rstrip('/')}/keytide-{spark.sparkContext.applicationId}"
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-_cleaned: set[str] = set()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: whatever is computed from it afterwards
     survives the loss of any executor without running what came before, and sees the same rows."""
     spark = df.sparkSession
-    top = shared_dir(spark)
-    if top not in _cleaned:
-        _cleaned.add(top)
-        atexit.register(lambda: spark.sparkContext._jsc is not None and _remove(spark, top))
-    path = f"{top}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
@@ -70,7 +45,17 @@ def forget(*dfs: DataFrame) -> None:
     """Delete tables made by ``cut`` that nothing reads any more."""
     for df in dfs:
         if path := getattr(df, "cut_path", None):
-            _remove(df.sparkSession, path)
+            remove(df.sparkSession, path)
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: str, count: str, how: str = "inner", share: int = 1000) -> DataFrame:
+    """``left`` joined (inner or left) with ``right``, which has one row for each key and in ``count`` how many rows of ``left`` have it. Keys that
+    hold more than one in ``share`` of the rows, of which there are fewer than ``share``, are joined by broadcast, so that no task gathers them."""
+    total = right.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    often = F.col(count) * share > F.lit(total)
+    hot = F.broadcast(right.filter(often).drop(count))
+    rest = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(right.filter(~often).drop(count), on, how)
+    return left.join(hot, on).unionByName(rest)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

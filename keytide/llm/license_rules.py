@@ -230,27 +230,32 @@ def rules() -> list[Rule]:
 
 
 #: Words too frequent in any text to sort texts by.
-_EVERYDAY = set("the and use under org tion right rights ware later clause public software version any for general free open terms code source same copy permission beer free is of to in a me you it its this".split())
+_EVERYDAY = set("the and use under org tion right rights ware later clause public software version any for general free open terms code source same copy permission beer is of to in a me you it its this as by or no not only one two three all used change with without model research return common business community exception foundation server unter".split())
 
 
-def gates(keywords: list[str]) -> list[str]:
-    """A few strings of which each keyword contains one, chosen greedily among whole words and runs of words (and
-    the keywords themselves): a text without any of them can be left alone."""
+def _cover(parts: dict[str, set[str]], weight) -> list[str]:
+    """A few parts of which each keyword has one, chosen greedily."""
+    left, out = set(parts), []
+    while left:
+        count: dict[str, int] = {}
+        for k in left:
+            for x in parts[k]:
+                count[x] = count.get(x, 0) + 1
+        out.append(max(count, key=lambda x: (count[x] * weight(x), len(x), x)))
+        left = {k for k in left if out[-1] not in parts[k]}
+    return sorted(out)
+
 
-    def parts(k: str) -> set[str]:
+def gates(keywords: list[str]) -> tuple[list[str], list[str]]:
+    """(words, strings): each keyword holds one of the words as a whole word, or else contains one of the strings; a text
+    without any of them can be left alone."""
+
+    def pieces(k: str) -> set[str]:
         w = [m.span() for m in re.finditer(r"\S+", k)]
         runs = {k[a:b] for i, (a, _) in enumerate(w) for _, b in w[i : i + 3]}
         stems = {k[a : min(b, a + 5)] for a, b in w if b - a >= 5}
         return {k} | {x for x in runs | stems if not set(x.split()) <= _EVERYDAY and len(x) >= 4}
 
-    of = {k: parts(k) for k in set(keywords)}
-    left, out = set(of), []
-    while left:
-        count: dict[str, int] = {}
-        for k in left:
-            for x in of[k]:
-                count[x] = count.get(x, 0) + 1
-        best = max(count, key=lambda x: (count[x] if len(x) >= 5 else count[x] / 2, len(x), x))
-        out.append(best)
-        left = {k for k in left if best not in k}
-    return sorted(out)
+    whole = {k: {w for w in re.findall(r"(?<= )\S+(?= )", k) if w not in _EVERYDAY and (len(w) > 2 or w == "cc")} for k in set(keywords)}
+    words = _cover({k: w for k, w in whole.items() if w}, lambda x: 1)
+    return words, _cover({k: {x for x in pieces(k) if x in k} for k, w in whole.items() if not w}, lambda x: 1 if len(x) >= 5 else 0.5)

@@ -3,8 +3,9 @@ import re
 
 from pyspark.sql import functions as F
 
+from keytide.llm.common import table
 from keytide.llm.license_rules import BASE, CONFIDENCE, gates, rules
-from keytide.llm.licenses import scan_licenses
+from keytide.llm.licenses import query, scan_licenses
 
 SCHEMA = "doc_id long, text string, rule string, start int"
 
@@ -33,8 +34,37 @@ def test_rules_and_keywords():
     assert len(rs) > 300
     for r in rs:
         assert r.keyword.strip() and r.keyword.strip() in r.pattern
-    gs = gates([r.keyword for r in rs])
-    assert all(any(g in r.keyword for g in gs) for r in rs)
+    words, strings = gates([r.keyword for r in rs])
+    assert all(any(f" {w} " in r.keyword for w in words) or any(g in r.keyword for g in strings) for r in rs)
+
+
+def test_keywords_and_gates_are_in_every_match():
+    """Of each rule some texts that match, made from its pattern by taking or leaving what is optional."""
+    rng, rs = random.Random(1), rules()
+    words, strings = gates([r.keyword for r in rs])
+    for r in rs:
+        body = r.pattern.removeprefix("(?<= )(?:").removesuffix(")(?= )")
+        for _ in range(20):
+            text = body
+            while m := re.search(r"\(([^()]*)\)(\?)?", text):
+                text = text[: m.start()] + ("" if m[2] and rng.random() < 0.5 else rng.choice(m[1].split("|"))) + text[m.end() :]
+            text = re.sub(r"\.\{1,80\}\?", "any name", text)
+            text = re.sub(r"\[a-z\]\+", "somebody", text)
+            text = re.sub(r"\[([^\]]*)\](\?)?", lambda m: "" if m[2] and rng.random() < 0.5 else rng.choice(m[1].replace("0-9", "0123456789")), text)
+            text = re.sub(r"([a-z0-9 ])\?", lambda m: rng.choice(["", m[1]]), text)
+            norm = f" x {text} y "
+            assert re.search(r.pattern, norm), (r, text)
+            assert r.keyword in norm and (set(words) & set(norm.split()) or any(g in norm for g in strings)), (r, text)
+
+
+def test_query(spark):
+    """The query's own columns over a table of the driver, against the definition."""
+    sf, rs = "/root/testdata/sf0.001", rules()
+    want = []
+    for r in table(spark, sf, "documents").collect():
+        n, n_base, first, last, base, labels, score, found = brute(r.text, rs)
+        want.append((r.doc_id, n, n_base, first, last, ",".join(base), ",".join(labels), score, found))
+    assert sorted(map(tuple, query(spark, sf).collect())) == sorted(want)
 
 
 def test_against_brute_force(spark):
