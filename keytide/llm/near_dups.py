@@ -9,12 +9,14 @@ none with probability (1 - 0.8^5)^32 = 3e-6.
 
 Classes. Documents with equal sets are one class from the start, so copies cost one aggregate row.
 
-Verification without pair rows. In each bucket, every class is compared, on full sets, with the
-bucket's smallest class, and what is linked makes components. A bucket that still holds several components
-is compared as a whole: its members' sets go to tiles of two blocks of members (a block has at most about
-``TILE`` members and ``TILE_SHINGLES`` shingles, so no task holds a bucket), where the sizes of all
-intersections are one product of incidence matrices, and only a spanning forest of the links between
-different components leaves the tile. No bucket has a cap and no link is lost that way.
+Verification without pair rows. In each bucket, every class is compared with the bucket's smallest class, and what is
+linked makes components. A bucket that still holds several components is compared as a whole, in two steps that deal its members
+to tiles of two blocks, so no task holds a bucket. First by sketches: a block has about ``SKETCH_TILE`` members of a byte for
+each coordinate, and a member goes on if it agrees with one of another component in ``AGREE`` coordinates, unless the two met in an
+earlier band. Then those left, by full sets: a block has at most about ``TILE`` members and ``TILE_SHINGLES`` shingles; the sizes
+of all intersections are one product of incidence matrices, and only a spanning forest of the links between
+different components leaves the tile. No bucket has a cap. Sketches only ever rule pairs out: at similarity 0.8 fewer than
+``AGREE`` of T coordinates agree with probability 1e-6 (see ``agreement``); every link is decided on full sets.
 
 A document without words has an empty set, is linked with nothing and stays. Null texts are empty.
 Rows that repeat an id with equal texts get equal results. A null id
@@ -23,6 +25,7 @@ counts as the id of a component only if there is no other.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from hashlib import blake2b
@@ -30,13 +33,13 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from keytide.llm.common import chunks, cut, forget, row_key, small_batches, table
+from keytide.llm.common import chunks, cut, forget, join_counted, row_key, small_batches, table
 from keytide.llm.graph import components, deal, spanning_forest
 
 T, BANDS, ROWS = 160, 32, 5
-TILE, TILE_SHINGLES = 1024, 1_500_000
+TILE, TILE_SHINGLES, SKETCH_TILE = 1024, 1_500_000, 4096
 _U = np.uint64
 _EMPTY = ~_U(0)
 
@@ -48,6 +51,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def agreement(percent: int, miss: float = 1e-6) -> int:
+    """The largest number of coordinates in which a pair at the threshold agrees with probability 1 - miss."""
+    p, below = percent / 100, 0.0
+    for k in range(T + 1):
+        below += math.comb(T, k) * p**k * (1 - p) ** (T - k)
+        if below > miss:
+            return k
+    return T
+
+
 _SEEDS = mix(np.arange(1, 2 * T + 64, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
@@ -107,7 +120,7 @@ def band_keys(sk: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+def lists(parts: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0] + [len(p) for p in parts])
     flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
@@ -118,16 +131,18 @@ def _fingerprint(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Recor
         texts = b.column("text").to_pylist()
         for at in chunks(texts):
             sets = shingle_sets(texts[at], k)
-            keys = band_keys(sketches(sets))
+            sk = sketches(sets)
+            keys = band_keys(sk)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("id")[at],
                     b.column("h")[at],
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    _lists([k_ if len(s) else k_[:0] for k_, s in zip(keys, sets, strict=True)]),
+                    lists([k_ if len(s) else k_[:0] for k_, s in zip(keys, sets, strict=True)]),
+                    pa.array([x.tobytes() for x in sk.astype(np.uint8)], pa.binary()),
                 ],
-                names=["id", "h", "n", "digest", "keys"],
+                names=["id", "h", "n", "digest", "keys", "bytes"],
             )
 
 
@@ -135,25 +150,94 @@ def _full_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
     for b in batches:
         texts = b.column("text").to_pylist()
         for at in chunks(texts):
-            yield pa.RecordBatch.from_arrays([b.column("node")[at], _lists(shingle_sets(texts[at], k))], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("node")[at], lists(shingle_sets(texts[at], k))], names=["node", "shingles"])
+
+
+def _sketch(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, T)
+
+
+def _alike(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose sketches x and y agree in ``least`` coordinates."""
+    for batch in batches:
+        same = (_sketch(batch.column("x")) == _sketch(batch.column("y"))).sum(1) >= least
+        yield batch.select(["a", "b"]).filter(pa.array(same))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked, of distinct pairs."""
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    of = classes.select("node", "bytes")
+    drawn = pairs.join(of.select(F.col("node").alias("a"), F.col("bytes").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("bytes").alias("y")), "b")
+    near = drawn.select("a", "b", "x", "y").mapInArrow(partial(_alike, least=agreement(percent)), "a long, b long")
+    one = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     both = two.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("i"))
     return both.filter(100 * F.col("i").cast("long") >= percent * (F.col("total") - F.col("i"))).select("a", "b")
 
 
 def _split(inside: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, with their component and the number of blocks."""
+    """Members of buckets that hold several components, with their component."""
     c = inside.join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    most = F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)
-    several = c.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(most).cast("int").alias("blocks")).filter("lo != hi").drop("lo", "hi")
+    several = c.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
     return c.join(several, "key")
 
 
+def _blocks(members: DataFrame, most: Column) -> DataFrame:
+    """``members`` with the number of blocks of their bucket, ``most`` of it."""
+    return members.join(members.groupBy("key").agg(F.ceil(most).cast("int").alias("blocks")), "key")
+
+
+def _tiles_of(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], big: str) -> Iterator[list[tuple]]:
+    """Tiles, one after the other, of rows that come sorted by key, i, j: (i, j, *columns, item of ``big``)."""
+    now, tile = None, []
+    for batch in batches:
+        cols = [batch.column(c).to_pylist() for c in ("key", "i", "j", *columns)]
+        items = batch.column(big)
+        if pa.types.is_list(items.type):
+            flat, ends = items.values.to_numpy(zero_copy_only=False).view(np.uint64), items.offsets.to_numpy()
+            items = [flat[a:b].copy() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        else:
+            items = items.to_pylist()
+        for key, i, j, *rest, item in zip(*cols, items, strict=True):
+            if (key, i, j) != now:
+                if tile:
+                    yield tile
+                now, tile = (key, i, j), []
+            tile.append((i, j, *rest, item))
+    if tile:
+        yield tile
+
+
+def met_by(sk: np.ndarray, comp: np.ndarray, keys: np.ndarray, band: int, side: np.ndarray, whole: bool, least: int) -> np.ndarray:
+    """Which members of a tile agree in ``least`` coordinates with one of another component and (unless ``whole``) of the other
+    side, where no earlier band has brought the two together."""
+    met, n = np.zeros(len(sk), bool), len(sk)
+    left = np.arange(n) if whole else np.flatnonzero(side == 0)
+    right = np.arange(n) if whole else np.flatnonzero(side == 1)
+    columns = np.ascontiguousarray(sk[right].T)
+    for at in range(0, len(left), 256):
+        x = left[at : at + 256]
+        same = np.zeros((len(x), len(right)), np.uint8)
+        for c in range(T):
+            same += sk[x, c][:, None] == columns[c]
+        may = (same >= least) & (comp[x][:, None] != comp[right]) & ~(met[x][:, None] & met[right])
+        a, b = np.nonzero(may)
+        for s in range(0, len(a), 1 << 15):
+            p, q = x[a[s : s + (1 << 15)]], right[b[s : s + (1 << 15)]]
+            first = ~(keys[p, :band] == keys[q, :band]).any(1)
+            met[p[first]] = met[q[first]] = True
+    return met
+
+
+def _near_tiles(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """key, node: members of a bucket that may be linked with one of another component."""
+    for tile in _tiles_of(batches, ("key", "t", "side", "comp", "node", "bytes"), "keys"):
+        i, j, key, band, side, comp, node, sk, keys = (list(c) for c in zip(*tile, strict=True))
+        met = met_by(np.frombuffer(b"".join(sk), np.uint8).reshape(-1, T), np.array(comp), np.stack(keys), band[0], np.array(side), i[0] == j[0], least)
+        got = np.array(node, np.int64)[met]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(got), pa.int64()), pa.array(got)], names=["key", "node"])
+
+
 def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
     """The sizes of the intersections of all pairs of sorted distinct arrays, by products of 0/1 matrices over a
     few thousand shared shingles at a time."""
@@ -192,20 +276,9 @@ def _link_tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         pairs = np.unique(np.stack([np.minimum(ca[x], cb[y]), np.maximum(ca[x], cb[y])], 1), axis=0)
         return spanning_forest(pairs[:, 0], pairs[:, 1])
 
-    now, tile = None, []
-    for batch in batches:
-        out: list[tuple[int, int]] = []
-        cols = [batch.column(c).to_pylist() for c in ("key", "i", "j", "side", "comp")]
-        sets = batch.column("shingles")
-        flat, ends = sets.values.to_numpy(zero_copy_only=False).view(np.uint64), sets.offsets.to_numpy()
-        for r, (key, i, j, side, comp) in enumerate(zip(*cols, strict=True)):
-            if (key, i, j) != now:
-                out += links(tile) if tile else []
-                now, tile = (key, i, j), []
-            tile.append((i, j, side, comp, flat[ends[r] : ends[r + 1]].copy()))
+    for tile in _tiles_of(batches, ("side", "comp"), "shingles"):
+        out = links(tile)
         yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-    out = links(tile) if tile else []
-    yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def near_dups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -214,30 +287,35 @@ def near_dups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_id: s
     without words), row_key."""
     small_batches(docs.sparkSession)
     src = docs.select(F.col(doc_id).cast("long").alias("id"), row_key(F.col(text)).alias("h"), F.col(text).alias("text"))
-    prints = cut(src.mapInArrow(partial(_fingerprint, k=shingle), "id long, h long, n long, digest binary, keys array<long>"))
+    prints = cut(src.mapInArrow(partial(_fingerprint, k=shingle), "id long, h long, n long, digest binary, keys array<long>, bytes binary"))
     first = F.min(F.struct("id", "h")).alias("rep")
-    classes = prints.filter("n > 0").groupBy("digest").agg(first, F.min("id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    classes = cut(classes.select("digest", F.col("rep.id").alias("rep_id"), F.col("rep.h").alias("rep_h"), "least", "n", "keys", F.monotonically_increasing_id().alias("node")))
+    classes = prints.filter("n > 0").groupBy("digest").agg(first, F.min("id").alias("least"), F.first("n").alias("n"), F.first(F.struct("keys", "bytes")).alias("s"), F.count("*").alias("rows"))
+    classes = cut(classes.select("digest", F.col("rep.id").alias("rep_id"), F.col("rep.h").alias("rep_h"), "least", "n", "rows", "s.keys", "s.bytes", F.monotonically_increasing_id().alias("node")))
 
-    rows = classes.select(F.explode("keys").alias("key"), "node", "n")
+    rows = classes.select(F.posexplode("keys").alias("t", "key"), "node", "n")
     heads = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("l1")).filter("c > 1").drop("c")
     inside = cut(rows.join(heads, "key"))
     wanted = inside.select("node").distinct().join(classes.select("node", F.col("rep_id").alias("id_"), F.col("rep_h").alias("h_")), "node")
     sets = cut(src.join(wanted, src["id"].eqNullSafe(F.col("id_")) & (src["h"] == F.col("h_"))).select("node", "text").mapInArrow(partial(_full_sets, k=shingle), "node long, shingles array<long>").dropDuplicates(["node"]))
 
-    links = _verify(inside.filter("node != l1").select(F.col("l1").alias("a"), F.col("node").alias("b")).distinct(), sets, percent)
+    links = _verify(inside.filter("node != l1").select(F.col("l1").alias("a"), F.col("node").alias("b")).distinct(), classes, sets, percent)
     roots = components(links)
-    rest = deal(_split(inside, roots), "node", "comp")
-    tiles = rest.join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = cut(tiles.select("key", "i", "j", "side", "comp", "shingles").mapInArrow(partial(_link_tiles, percent=percent), "a long, b long"))
+    rest = cut(_split(inside.select("key", "t", "node", "n"), roots))
+    dealt = deal(_blocks(rest, F.count("*") / SKETCH_TILE), "node", "comp", "t").join(classes.select("node", "bytes", "keys"), "node")
+    tiles = dealt.select("key", "i", "j", "t", "side", "comp", "node", "bytes", "keys").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    near = tiles.mapInArrow(partial(_near_tiles, least=agreement(percent)), "key long, node long").distinct()
+    close = cut(rest.join(near, ["key", "node"]))
+    dealt = deal(_blocks(close, F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)), "node", "comp").join(sets, "node")
+    tiles = dealt.select("key", "i", "j", "side", "comp", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = cut(tiles.mapInArrow(partial(_link_tiles, percent=percent), "a long, b long"))
     final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)) if not more.isEmpty() else roots
-    forget(sets, inside)
+    forget(sets, inside, rest, close)
 
-    named = classes.select("digest", "least", "node").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = classes.select("digest", "least", "rows", "node").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = named.join(least, "root").select("digest", F.col("node").alias("class_id"), F.col("root").alias("root_id"), "component_id")
+    label = cut(named.join(least, "root").select("digest", "rows", F.col("node").alias("class_id"), F.col("root").alias("root_id"), "component_id"))
     empty = prints.filter("n = 0").select("id", "h", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("root_id"))
-    out = prints.filter("n > 0").select("id", "h", "n", "digest").join(label, "digest").select("id", "h", "n", "component_id", "class_id", "root_id").unionByName(empty)
+    out = join_counted(prints.filter("n > 0").select("id", "h", "n", "digest"), label, "digest", "rows").select("id", "h", "n", "component_id", "class_id", "root_id").unionByName(empty)
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id", "root_id", F.col("h").alias("row_key"))
 
 

@@ -2,8 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keytide.llm import near_dups as N
+from keytide.llm.common import join_counted
 
 SCHEMA = "doc_id long, text string, node string, n int, h string"
 
@@ -90,9 +92,67 @@ def test_intersections():
 
 def test_small_tiles(spark, monkeypatch):
     monkeypatch.setattr(N, "TILE", 16)
+    monkeypatch.setattr(N, "SKETCH_TILE", 40)
     test_large_group_of_near_copies(spark)
 
 
+def test_members_met_in_a_tile_against_brute_force():
+    rng = np.random.default_rng(4)
+    for whole in (True, False):
+        n, least = 300, 100
+        base = rng.integers(0, 256, N.T)
+        sk = np.where(rng.random((n, N.T)) < rng.choice([0.1, 0.2, 0.3, 0.9], (n, 1)), rng.integers(0, 256, (n, N.T)), base).astype(np.uint8)
+        comp, side, keys = rng.integers(0, 40, n), rng.integers(0, 2, n), rng.integers(0, 30, (n, N.BANDS)).astype(np.uint64)
+        want = np.zeros(n, bool)
+        for i in range(n):
+            for j in range(n):
+                if comp[i] != comp[j] and (whole or side[i] != side[j]) and (sk[i] == sk[j]).sum() >= least and not (keys[i, :5] == keys[j, :5]).any():
+                    want[i] = True
+        assert (N.met_by(sk, comp, keys, 5, side, whole, least) == want).all() and 0 < want.sum() < n
+
+
+def test_sketches_rarely_rule_out_a_link():
+    assert 100 <= N.agreement(80) < 0.8 * N.T and N.agreement(80, 0.5) == 128
+    rng = np.random.default_rng(6)
+    sets = []
+    for _ in range(200):
+        x = rng.integers(0, 2**63, 1000, dtype=np.uint64)
+        sets += [np.unique(x[:900]), np.unique(x[100:])]  # similarity 0.8
+    sk = N.sketches(sets).astype(np.uint8)
+    assert ((sk[::2] == sk[1::2]).sum(1) >= N.agreement(80)).all()
+
+
+def test_rows_dealt_for_a_template_grow_in_proportion(spark, monkeypatch):
+    """One text with 3 % edits: most pairs share a band and are below the threshold; full sets go only where sketches leave a doubt."""
+    dealt = []
+
+    def counted(members, node, *more):
+        out = deal(members, node, *more)
+        dealt.append((more, out.count()))
+        return out
+
+    deal = N.deal
+    monkeypatch.setattr(N, "deal", counted)
+    seen = []
+    for n in (150, 600):
+        rng = random.Random(n)
+        base = [f"b{i}" for i in range(300)]
+        rows = [(i, " ".join(edited(rng, base, 0.03))) for i in range(n)]
+        dealt.clear()
+        got = run(spark, rows, 4)
+        assert len(got) == n
+        seen.append((sum(c for m, c in dealt if "t" in m), sum(c for m, c in dealt if "t" not in m)))
+    assert 0 < seen[1][0] <= 6 * seen[0][0] and seen[1][1] <= seen[1][0]
+
+
+def test_hot_keys_are_joined_by_broadcast(spark):
+    left = spark.createDataFrame([(i % 7 if i % 2 else 0, i) for i in range(3000)] + [(None, 1)], "k int, v int")
+    counts = left.groupBy("k").count().filter("k is not null and k != 5").withColumnRenamed("count", "c").withColumn("name", F.concat(F.lit("n"), "k"))
+    for how in ("inner", "left"):
+        want = sorted((tuple(r) for r in left.join(counts.drop("c"), "k", how).collect()), key=repr)
+        assert sorted((tuple(r) for r in join_counted(left, counts, "k", "c", how, share=4).collect()), key=repr) == want
+
+
 def test_null_ids(spark):
     rows = [(None, "a b c d e"), (5, "a b c d e"), (None, "q r s t u"), (None, "")]
     df = spark.createDataFrame([(d, t, "x", 1, "y") for d, t in rows], SCHEMA)
