@@ -3,7 +3,8 @@
 Model. Features are a word and its initial 3 to 6 letters, so that inflected and coined forms share
 evidence. A feature's weight is the log-odds of its document frequencies in toxic and other labelled
 texts under an informative Dirichlet prior (the background frequencies, ``PRIOR`` of their mass), less one
-deviation and a quarter; features whose log-odds aren't ``MIN_Z`` deviations above zero, or whose weight is below ``LEAST``, are left out. A token (what
+deviation and a quarter. A word has evidence if its log-odds are ``MIN_Z`` deviations above zero, its weight is ``LEAST`` at
+least and ``TEXTS`` toxic texts have it; else it counts as any other token. A token (what
 stands between white space) counts by its best word, a word by its most specific feature in the model. Every other token costs the
 log-odds of "no feature".
 
@@ -14,8 +15,9 @@ bound. A segment with an expectation of at most ``MAX_E`` is a passage. The evid
 largest -log10 p of its best 1, 2, 3, ... segments together (Karlin and Altschul's sum statistics); a
 logistic curve fitted on the training rows makes it, up to ``MOST``, a score from 0 to 1.
 
-Fitting uses at most about ``max_rows`` labelled texts, chosen by a hash of their ids; of near copies few count, since
-else the rare words of a toxic text with many copies would look toxic; the model has at most ``max_features`` features. Scoring reads nothing but the text. Null and empty texts have
+Fitting uses at most about ``max_rows`` labelled texts, chosen by a hash of their ids; equal texts, and near copies (about 0.8 of
+five-word shingles) of one label, count once, since else the rare words of a toxic text with many copies would look toxic. Texts of
+different labels are never taken for copies. Scoring reads nothing but the text. Null and empty texts have
 no evidence and get the curve's lowest value. Without toxic training rows the model is empty.
 """
 
@@ -32,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from keytide.llm.common import chunks, cut, forget, small_batches, table
-from keytide.llm.near_dups import shingle_sets, sketches
+from keytide.llm.near_dups import T, band_keys, lists, shingle_sets, sketches
 
-PRIOR, MIN_Z, LOWER, LEAST, CAP, MAX_E, MOST, SIGNATURES = 0.03, 2.3, 1.25, 1.0, 8.0, 1e-3, 10.0, 4
+PRIOR, MIN_Z, LOWER, LEAST, TEXTS, CAP, MAX_E, MOST = 0.03, 2.3, 1.25, 1.0, 3, 8.0, 1e-3, 10.0
 _WORDS = re.compile(r"[^\W\d_]+")
 _TYPE = "score double, evidence double, starts array<int>, stops array<int>, scores array<double>"
 
@@ -87,7 +89,7 @@ class Model:
     def evidence(self, n: int, found: list[tuple[int, int, float]]) -> float:
         """The largest -log10 p over the best r segments together."""
         best = total = 0.0
-        for r, (_, _, s) in enumerate(sorted(found, key=lambda x: -x[2])[:200], 1):
+        for r, (_, _, s) in enumerate(sorted(found, key=lambda x: -x[2]), 1):
             x = self.rate * s - math.log(n)
             if x <= 0:
                 break
@@ -158,50 +160,55 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column("text").to_pylist()
         for at in chunks(texts):
-            sk = sketches(shingle_sets(texts[at], 3))[:, :SIGNATURES].view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("text")[at], b.column("y")[at], *(pa.array(sk[:, k].copy()) for k in range(SIGNATURES))], names=["text", "y", *(f"s{k}" for k in range(SIGNATURES))])
+            sets = shingle_sets(texts[at], 5)
+            sk = sketches(sets)
+            keys = [k if len(s) else k[:0] for k, s in zip(band_keys(sk), sets, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("row")[at], lists(keys), lists(list(sk))], names=["row", "keys", "sketch"])
 
 
 def _apart(rows: DataFrame) -> DataFrame:
-    """One of the rows that agree in a coordinate of their sketches of three-word shingles, for one coordinate after
-    the other: of texts that are much the same few stay, and texts that have nothing in common all stay."""
-    sig = [f"s{k}" for k in range(SIGNATURES)]
-    rows = rows.mapInArrow(_signatures, "text string, y int, " + ", ".join(f"{s} long" for s in sig))
-    for s in sig:
-        least = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y", *sig)).alias("x")
-        rows = rows.groupBy(F.col(s).alias("_same")).agg(least).select("x.text", "x.y", *[f"x.{c}" for c in sig])
-    return rows
+    """``rows`` (text, y) without those that nearly repeat another one of their label: in each band of their sketches, a text is held
+    against the first one of its label, and goes if 0.8 of their coordinates agree. The first of all copies stays."""
+    rows = cut(rows.dropDuplicates(["text", "y"]).withColumn("row", F.monotonically_increasing_id()))
+    prints = cut(rows.select("row", "text").mapInArrow(_signatures, "row long, keys array<long>, sketch array<long>"))
+    bands = prints.select("row", F.explode("keys").alias("key")).join(rows.select("row", "y"), "row")
+    firsts = bands.groupBy("key", "y").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    pairs = bands.join(firsts, ["key", "y"]).filter("row != first").select("row", "first").distinct()
+    of = prints.select("row", "sketch")
+    both = pairs.join(of, "row").join(of.select(F.col("row").alias("first"), F.col("sketch").alias("other")), "first")
+    same = F.aggregate(F.zip_with("sketch", "other", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
+    again = both.filter(same >= 0.8 * T).select("row").distinct()
+    return rows.join(again, "row", "left_anti").select("text", "y")
 
 
 def is_held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 20_000, max_features: int = 50_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 20_000) -> Model:
     small_batches(docs.sparkSession)
     y = labelled(docs, labels, label, max_rows, ~is_held_out(doc_id), doc_id)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(y.withColumn("y", F.col("y").cast("int"))), "id").filter("text is not null")
-    rows = cut(_apart(rows.select("text", "y")).select("text", "y"))
+    rows = cut(_apart(rows.select("text", "y")))
     counts = rows.repartition(F.xxhash64("text")).mapInArrow(_count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    counts = cut(counts.filter("t >= 3"))
+    counts = cut(counts.filter(F.col("t") >= TEXTS))
     total = counts.filter("feature = ''").first()
     model = Model()
     if total is None or not total.c:
         return model
-    T, C = float(total.t), float(total.c)
+    toxic, clean = float(total.t), float(total.c)
     prior = PRIOR * (F.col("t") + F.col("c"))
-    at, ac = prior * T / (T + C) + F.col("t"), prior * C / (T + C) + F.col("c")
-    delta = F.log(at / (T * (1 + PRIOR) - at)) - F.log(ac / (C * (1 + PRIOR) - ac))
+    at, ac = prior * toxic / (toxic + clean) + F.col("t"), prior * clean / (toxic + clean) + F.col("c")
+    delta = F.log(at / (toxic * (1 + PRIOR) - at)) - F.log(ac / (clean * (1 + PRIOR) - ac))
     sd = F.sqrt(1 / at + 1 / ac)
     good = counts.filter("feature != ''").select("feature", "t", "c", delta.alias("delta"), sd.alias("sd")).filter((F.col("delta") > 1) & (F.col("delta") >= MIN_Z * F.col("sd")))
-    best = good.orderBy(F.desc(F.col("delta") / F.col("sd")), "feature").limit(max_features).collect()
-    best = [r for r in best if r.delta - LOWER * r.sd >= LEAST]
+    best = sorted(good.filter(F.col("delta") - LOWER * F.col("sd") >= LEAST).collect())
     model.weights = {r.feature: min(CAP, r.delta - LOWER * r.sd) for r in best}
     # words that carry a feature, by their most general one, for the share of the others
     roots = [r for r in best if not any(f in model.weights for f in features(r.feature.rstrip("~"))[:-1] if f != r.feature)]
-    share_t, share_c = (min(0.9, sum(getattr(r, k) for r in roots) / n) for k, n in (("t", T), ("c", C)))
+    share_t, share_c = (min(0.9, sum(getattr(r, k) for r in roots) / n) for k, n in (("t", toxic), ("c", clean)))
     model.drift = min(-1e-3, math.log((1 - share_t) / (1 - share_c)))
-    model.rate = _rate([(model.weights[r.feature], (r.c + PRIOR * (r.t + r.c) * C / (T + C)) / C) for r in roots], model.drift)
+    model.rate = _rate([(model.weights[r.feature], (r.c + PRIOR * (r.t + r.c) * clean / (toxic + clean)) / clean) for r in roots], model.drift)
     pairs = rows.select("y", scorer(model)("text")["evidence"].alias("e")).collect()
     model.slope, model.offset = _logistic(np.log1p([min(p.e, MOST) for p in pairs]), np.array([p.y for p in pairs], float))
     forget(rows, counts)

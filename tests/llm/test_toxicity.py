@@ -1,8 +1,11 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
-from pyspark.sql import functions as F
+import pytest
 
 from keytide.llm import toxicity as T
 from keytide.llm.common import table
@@ -45,14 +48,16 @@ def test_segments_are_linear():
 
 
 def test_held_out_accuracy(spark):
-    # some labels of this table are wrong either way: junk without any word of a toxic kind is marked toxic
-    truth = {r.doc_id: r.toxic for r in table(spark, SF, "labels").collect()}
+    labels = {r.doc_id: r for r in table(spark, SF, "labels").collect()}
     out = T.query(spark, SF).collect()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
-    held = [(truth[r.doc_id], r.predicted, r.score) for r in out if r.held_out and r.doc_id in truth]
-    hit, toxic = sum(p for y, p, _ in held if y), sum(y for y, *_ in held)
-    false = sum(p for y, p, _ in held if not y)
-    assert hit >= 0.8 * toxic and false <= 0.01 * len(held), (hit, toxic, false, len(held))
+    held = [(labels[r.doc_id], r.predicted) for r in out if r.held_out and r.doc_id in labels]
+    # the table also marks junk (quality 0) as toxic that has no word of a toxic kind
+    toxic = [p for y, p in held if y.toxic and y.quality]
+    false = sum(p for y, p in held if not y.toxic)
+    assert sum(toxic) >= 0.9 * len(toxic) and false <= 0.005 * len(held), (sum(toxic), len(toxic), false, len(held))
+    every = [p for y, p in held if y.toxic]
+    assert sum(every) >= 0.8 * len(every), (sum(every), len(every))
 
 
 def own(i):
@@ -60,6 +65,57 @@ def own(i):
     return " ".join(f"{'idiot' if i % 2 else 'nice'} {'fool' if i % 3 else 'day'} w{i}x{k}" for k in range(6))
 
 
+def test_evidence_reads_all_segments():
+    model = T.Model(rate=1.0)
+    found = [(i, i + 1, 9.0) for i in range(400)]
+    best, total = 0.0, 0.0
+    for r in range(1, 401):
+        total += 9.0 - math.log(800)
+        if total > r - 1:
+            best = max(best, (total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r)) / math.log(10))
+    assert model.evidence(800, found) == pytest.approx(best) and best > model.evidence(800, found[:200])
+
+
+def test_weights_against_a_plain_recount(spark):
+    """The fitted weights from document frequencies counted here, of texts that have nothing in common."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(600):
+        bad = i % 4 == 0
+        vocab = [f"{a}{b}" for a in ("vile", "rott", "fool", "good", "tree") for b in ("ly", "en", "ish", "s")]
+        weights = [6 if w[:4] in ("vile", "rott", "fool") else 1 for w in vocab] if bad else [1 if w[:4] in ("vile", "rott") else 5 for w in vocab]
+        rows.append((i, " ".join([f"q{i}x{k}" for k in range(5)] + rng.choices(vocab, weights, k=4) + [f"z{i}"]), int(bad)))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = T.fit(docs, labels)
+    df = {0: Counter(), 1: Counter()}
+    for i, text, y in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            found = {w for w in re.findall(r"[^\W\d_]+", text.lower())}
+            stems = {w[:k] + "~" for w in found for k in (3, 4, 5, 6) if len(w) > k}
+            df[y].update(found | stems)
+            df[y][""] += len(found)
+    nt, nc = df[1][""], df[0][""]
+    want = {}
+    for f in (df[0].keys() | df[1].keys()) - {""}:
+        t, c = df[1][f], df[0][f]
+        if t >= 3:
+            at, ac = t + 0.03 * (t + c) * nt / (nt + nc), c + 0.03 * (t + c) * nc / (nt + nc)
+            delta, sd = math.log(at / (nt * 1.03 - at)) - math.log(ac / (nc * 1.03 - ac)), math.sqrt(1 / at + 1 / ac)
+            if delta > 1 and delta >= 2.3 * sd and delta - 1.25 * sd >= 1:
+                want[f] = min(8.0, delta - 1.25 * sd)
+    assert want and model.weights.keys() == want.keys() and all(model.weights[f] == pytest.approx(w) for f, w in want.items())
+
+
+def test_labels_keep_copies_apart(spark):
+    """A clean near copy hides no toxic text, and equal texts of both labels count on both sides; copies of one label count once."""
+    def text(i, last):
+        return " ".join([f"w{i}x{k}" for k in range(80)] + [last])
+
+    rows = [(text(1, "vile"), 1), (text(1, "nice"), 0), (text(2, "a"), 1), (text(2, "a"), 0), (text(3, "a"), 1), (text(3, "b"), 1), (text(3, "a"), 1), (text(4, "a"), 0)]
+    got = sorted((r.text.split()[0], r.y) for r in T._apart(spark.createDataFrame(rows, "text string, y int")).collect())
+    assert got == [("w1x0", 0), ("w1x0", 1), ("w2x0", 0), ("w2x0", 1), ("w3x0", 1), ("w4x0", 0)]
+
+
 def test_near_copies_count_once(spark):
     """The rare words of one toxic text with many copies don't become toxic."""
     copy = " ".join(f"rare{k}" for k in range(60))
@@ -79,4 +135,4 @@ def test_odd_rows(spark):
     assert got[4, 300_000].starts and got[4, 300_000].score > 0.7
     empty = T.fit(docs.limit(0), labels)
     assert empty.weights == {} and T.score(docs.limit(0), empty).count() == 0
-    assert T.fit(docs, labels.limit(0)).weights == {} and F is not None
+    assert T.fit(docs, labels.limit(0)).weights == {}
