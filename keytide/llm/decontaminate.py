@@ -9,7 +9,7 @@ One scan counts the words of the benchmark's vocabulary; a second one explodes e
 probes the index. A match at word p for place o proposes the window at p - o: it has to begin and end
 inside the document (positional and length bound), then its words are compared. All that happens inside
 the scanning task; only hits and one row per document are shuffled. The index is broadcast in blocks of
-at most ``block_bytes``, measured before: a larger benchmark makes more passes over the corpus, which at
+at most ``block_bytes``, measured before and dealt by windows, so that a word with many windows is split, too: a larger benchmark makes more passes over the corpus, which at
 a corpus of this kind moves far less than shuffling every word of it would.
 
 Null and empty texts have no words and no hits; items without words are never hit. Rows that repeat an
@@ -18,6 +18,8 @@ id are told apart by their text, and rows alike in both each get their own (equa
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from keytide.llm.common import alnum_words, cut, forget, row_key
@@ -71,7 +73,7 @@ def find_hits(docs: DataFrame, index: DataFrame, doc_id: str, text: str, block_b
     mark = index.sparkSession.createDataFrame([(END, 0, 0, "")], index.schema)
     out = None
     for k in range(blocks):
-        part = index if blocks == 1 else index.filter(F.pmod(F.xxhash64("tok"), F.lit(blocks)) == k)
+        part = index if blocks == 1 else index.filter(F.pmod(F.xxhash64("win"), F.lit(blocks)) == k)
         part = part.unionByName(mark) if k == 0 else part
         at = _words_of(docs, doc_id, text).select("id", "h", "w", F.posexplode(F.concat("w", F.array(F.lit(END)))).alias("p", "tok"))
         start = F.col("p") - F.col("place")
@@ -83,6 +85,22 @@ def find_hits(docs: DataFrame, index: DataFrame, doc_id: str, text: str, block_b
     return out
 
 
+def items_of(hits: DataFrame, wins: DataFrame, block_bytes: int) -> DataFrame:
+    """``hits`` (with a column win) with the items of their windows. By broadcast, as a window may be hit by very many documents."""
+    _, blocks = _bounded(wins, F.length("win") + 60, block_bytes)
+    parts = [wins if blocks == 1 else wins.filter(F.pmod(F.xxhash64("win", "item_id"), F.lit(blocks)) == k) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, [hits.join(F.broadcast(p), "win") for p in parts])
+
+
+def repeated(rows: DataFrame, copies: str, block: int = 4096) -> DataFrame:
+    """Each row as often as ``copies`` says; beyond ``block`` times, by blocks that are dealt to all tasks."""
+    n = F.col(copies)
+    blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / block))))
+    if not rows.filter(n > block).isEmpty():
+        blocks = blocks.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return blocks.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(block).cast("long"), n - F.col("_block") * block)))).drop("_block", "_copy", copies)
+
+
 def covered(spans: Column) -> Column:
     """How many words lie in the union of spans of (start, len)."""
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
@@ -109,18 +127,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, width: int = 10, doc_id:
             F.collect_set(F.when(real, F.col("win"))).alias("wins"),
         )
     )
-    named = per.filter(F.size("wins") > 0).select("id", "h", F.explode("wins").alias("win")).join(wins, "win")
-    items_of = named.groupBy(F.col("id").alias("id2"), F.col("h").alias("h2")).agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    full = per.join(items_of, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left").select(
+    named = items_of(per.filter(F.size("wins") > 0).select("id", "h", F.explode("wins").alias("win")), wins, block_bytes)
+    with_items = named.groupBy(F.col("id").alias("id2"), F.col("h").alias("h2")).agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    full = per.join(with_items, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left").select(
         F.col("id").alias(doc_id),
         F.col("n_words").cast("long").alias("n_words"),
         covered(F.col("spans")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.array_sort("spans").alias("spans"),
         F.col("h").alias("row_key"),
-        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
+        "copies",
     )
-    return full.drop("copy")
+    return repeated(cut(full), "copies")
 
 
 def query(spark, sf: str) -> DataFrame:

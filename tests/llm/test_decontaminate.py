@@ -2,9 +2,8 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
-from keytide.llm.decontaminate import decontaminate
+from keytide.llm.decontaminate import decontaminate, repeated
 
 DOCS, ITEMS = "doc_id long, text string, win string, w int, tok string", "item_id long, text string, tok string"
 
@@ -43,4 +42,13 @@ def test_against_brute_force(spark, block_bytes):
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b", "", 1, "")], DOCS), spark.createDataFrame([(1, "a b", "")], ITEMS)
     assert decontaminate(docs.limit(0), items).count() == 0
-    assert [(r.n_words, r.n_hit) for r in decontaminate(docs, items.limit(0)).collect()] == [(2, 0)] and F is not None
+    assert [(r.n_words, r.n_hit) for r in decontaminate(docs, items.limit(0)).collect()] == [(2, 0)]
+
+
+def test_many_equal_rows(spark):
+    docs = spark.createDataFrame([(1, "a b c", "", 1, "")] * 50 + [(2, "x", "", 1, "")], DOCS)
+    got = decontaminate(docs, spark.createDataFrame([(1, "b c", ""), (2, "q", "")], ITEMS)).groupBy("doc_id", "n_words", "n_hit").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 3, 2, 50), (2, 1, 0, 1)]
+    rows = spark.createDataFrame([(1, 10), (2, 1), (3, 4), (4, 5)], "id int, n long")
+    for block in (1, 4, 100):
+        assert sorted(r.id for r in repeated(rows, "n", block).collect()) == [1] * 10 + [2] + [3] * 4 + [4] * 5
