@@ -5,9 +5,9 @@ Within each source, rows are ranked in the order of a seeded hash; rank r of n r
 apart at most), so each shard, and each stretch of it, has the mixture of the whole.
 
 Both rankings are made without a sort over all rows or over a source: hashes and fractions are uniform, so
-equal-width buckets of them hold about ``per_bucket`` rows whatever the sizes of the sources. A rank is the
-prefix sum of the counts of the buckets before (a table of N / per_bucket rows), plus the rank inside the
-bucket. Only ids, sizes and checksums are shuffled; texts stay where they are until shards are written.
+equal-width buckets, as many for each source as its rows need, hold about ``per_bucket`` rows whatever the sizes of the sources. A
+rank is the prefix sum of the counts of the buckets before (a table of at most N / per_bucket rows and one for each source), plus
+the rank inside the bucket. Only ids, sizes and checksums are shuffled; texts stay where they are until shards are written.
 
 A null source is a stratum of its own; null texts count as empty. Rows that repeat id and text are spread
 by their place in the input; the order of all others depends on nothing but the rows and the seed.
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from keytide.llm.common import cut, forget, row_key, table
+from keytide.llm.common import cut, forget, join_counted, row_key, table
 
 
 def _rank_in_buckets(rows: DataFrame, by: list[str], bucket: str, order: list, into: str) -> DataFrame:
@@ -34,7 +34,11 @@ def _rank_in_buckets(rows: DataFrame, by: list[str], bucket: str, order: list, i
     return rows.withColumn("_r", inside).join(starts, [*by, bucket]).withColumn(into, F.col("_start") + F.col("_r")).drop("_r", "_start", bucket)
 
 
-def interleave(docs: DataFrame, shards: int, *, seed: int = 0, source: str = "source", doc_id: str = "doc_id", text: str = "text", per_bucket: int = 4096, key: Column | None = None) -> DataFrame:
+def _both() -> Column:
+    return F.struct(F.coalesce("id", F.lit(0)).alias("id"), "key")
+
+
+def interleave(docs: DataFrame, shards: int, *, seed: int = 0, source: str = "source", doc_id: str = "doc_id", text: str = "text", per_bucket: int = 512, key: Column | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, size (UTF-8 bytes and 1), text_crc32, source, rank (in the
     whole order, from 0), shard, slot (place in the shard, from 0), row_key (``key``,
     by default a hash of the text: with the id, what tells rows apart)."""
@@ -45,25 +49,26 @@ def interleave(docs: DataFrame, shards: int, *, seed: int = 0, source: str = "so
     )
     light = cut(light.withColumn("tie", F.monotonically_increasing_id()))
     # rows alike in id and text would share a hash, and many of them a bucket: their place in the input spreads them
-    alike = light.groupBy(F.coalesce("id", F.lit(0)).alias("id_"), F.col("key").alias("key_")).agg(F.count("*").alias("c")).filter("c > 1")
+    alike = cut(light.groupBy(_both().alias("both")).agg(F.count("*").alias("c")).filter("c > 1").withColumn("many", F.lit(True)))
     hash_ = F.xxhash64(F.coalesce("id", F.lit(0)), "key", F.lit(seed))
     if alike.isEmpty():
         light_h = light.withColumn("hash", hash_)
     else:
-        both = light.join(alike, (F.coalesce("id", F.lit(0)) == F.col("id_")) & (F.col("key") == F.col("key_")), "left")
-        light_h = both.withColumn("hash", F.when(F.col("c").isNull(), hash_).otherwise(F.xxhash64("id", "key", F.lit(seed), "tie"))).drop("id_", "key_", "c")
-    sources = light.groupBy("s").agg(F.count("*").alias("of"))
-    n = light.count()
+        marked = join_counted(light.withColumn("both", _both()), alike, "both", "c", "left")
+        light_h = marked.withColumn("hash", F.when(F.col("many").isNull(), hash_).otherwise(F.xxhash64("id", "key", F.lit(seed), "tie"))).drop("both", "many")
+    sources = cut(light.groupBy("s").agg(F.count("*").alias("of")).withColumn("rows", F.col("of")))
+    n = sources.agg(F.coalesce(F.sum("of"), F.lit(0))).first()[0]
     if n == 0:
         return light.select(F.col("id").alias(doc_id), "size", F.col("crc").alias("text_crc32"), "s.name", F.lit(0).cast("long").alias("rank"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.col("key").alias("row_key")).withColumnRenamed("name", source)
-    buckets = max(1, -(-n // per_bucket))
+    buckets = -(-n // per_bucket)
     # the hash's own order: bucket and rank inside it agree
-    bucketed = light_h.withColumn("_hb", F.floor((F.shiftrightunsigned("hash", 11) / F.lit(float(1 << 53))) * buckets))
-    ranked = _rank_in_buckets(bucketed, ["s"], "_hb", [F.shiftrightunsigned("hash", 11), "hash", "tie"], "r").join(sources, "s")
+    own = join_counted(light_h, sources, "s", "rows")
+    bucketed = own.withColumn("_hb", F.floor((F.shiftrightunsigned("hash", 11) / F.lit(float(1 << 53))) * F.ceil(F.col("of") / per_bucket)))
+    ranked = _rank_in_buckets(bucketed, ["s"], "_hb", [F.shiftrightunsigned("hash", 11), "hash", "tie"], "r")
     fraction = ranked.withColumn("fraction", (F.col("r") + 0.5) / F.col("of")).withColumn("one", F.lit(1))
     placed = fraction.withColumn("_fb", F.least(F.floor(F.col("fraction") * buckets), F.lit(buckets - 1)))
     order = cut(_rank_in_buckets(placed, ["one"], "_fb", ["fraction", "s", "r"], "rank"))
-    forget(light)
+    forget(light, alike, sources)
     # the first rank of shard k is ceil(k n / shards)
     first = F.expr(f"(shard * {n}L + {shards - 1}L) div {shards}L")
     out = order.withColumn("shard", F.expr(f"cast((rank * {shards}L) div {n}L as int)")).withColumn("slot", F.col("rank") - first)
@@ -88,3 +93,8 @@ def write_shards(docs: DataFrame, path: str, shards: int, *, doc_id: str = "doc_
 def query(spark, sf: str) -> DataFrame:
     at = interleave(table(spark, sf, "documents"), 8)
     return at.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+SIZES_SQL = "SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 1 AS BIGINT) AS size, source FROM documents"
+SHARDS_SQL = """WITH n AS (SELECT count(*) AS n FROM documents), k AS (SELECT shard, (shard * n + 7) // 8 AS a, ((shard + 1) * n + 7) // 8 AS b FROM n, (SELECT unnest(range(8)) AS shard))
+ SELECT CAST(shard AS INTEGER) AS shard, 'rows' AS law, b - a AS n_rows, CAST(0 AS BIGINT) AS first_slot, b - a - 1 AS last_slot, b - a AS n_slots FROM k WHERE b > a"""
