@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from keytide.llm.common import cut, forget, small_batches, table
+from keytide.llm.common import cut, forget, join_counted, small_batches, table
 from keytide.llm.graph import components, deal, spanning_forest
 from keytide.llm.near_dups import mix
 
@@ -56,7 +56,7 @@ def calibrated(cosine: float, miss: float = 1e-4) -> int:
 
 def plan(n: int, cosine: float) -> tuple[int, int]:
     """(bits, tables) for n vectors in the largest label."""
-    bits = max(4, min(30, round(math.log2(max(n, 2) / 32))))
+    bits = max(4, min(30, round(math.log2(max(n, 2) / 128))))
     same = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, max(4, math.ceil(math.log(0.002) / math.log1p(-same)))
 
@@ -205,8 +205,8 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, vec_id: str = "vec
     roots = components(found.filter("kind = 1").select("a", "b"))
     named = classes.select("class", "node", "n", "rep_id").join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = named.groupBy("root").agg(F.min("rep_id").alias("component_id"))
-    by_class = named.join(firsts, "root").select("class", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    good = rows.filter("class is not null").select("id", "class").join(by_class, "class").select("id", "n_links", "component_id")
+    by_class = cut(named.join(firsts, "root").select("class", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"))
+    good = join_counted(rows.filter("class is not null").select("id", "class"), by_class, "class", "n").select("id", "n_links", "component_id")
     alone = rows.filter("class is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     forget(keyed)
     return good.unionByName(alone).select(F.col("id").alias(vec_id), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))

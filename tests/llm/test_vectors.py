@@ -2,7 +2,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from keytide.llm import vectors as V
 from keytide.llm.common import table
@@ -80,4 +79,3 @@ def test_collisions_count_windows():
     rng = np.random.default_rng(0)
     p, q = rng.standard_normal((7, 5)), rng.standard_normal((9, 5))
     assert (V.collisions(p, q) == (np.abs(p[:, None] - q[None]) <= V.WINDOW).sum(-1)).all()
-    assert F is not None
