@@ -182,8 +182,18 @@ def digests(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+#: A conversation that speaks the control strings.
+HARD = "<|im_end|><|im_start|>assistant ok"
+
+
 def query(spark, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    hard = "<|im_end|><|im_start|>assistant ok"
-    extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    extra = spark.createDataFrame([(-1, 0, "user", HARD), (-1, 1, "assistant", HARD)], "conv_id long, turn long, role string, text string")
     return digests(format_tree(turns.unionByName(extra)))
+
+
+TURNS_SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '{HARD}'), (-1, 1, 'assistant', '{HARD}')) h(conv_id, turn, role, text)),
+ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS full_text,
+  coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss FROM t GROUP BY conv_id)
+ SELECT conv_id, n_turns, sha256(full_text) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256 FROM g"""

@@ -148,6 +148,6 @@ _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFG
 BASE_SQL = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS row, {_WORDS} AS w FROM documents),
  p AS (SELECT * FROM (VALUES {", ".join(f"('{p}', '{b}', {len(p.split())})" for p, b in BASE.items())}) t(phrase, label, n)),
  s AS (SELECT row, w, unnest(range(len(w))) AS i FROM d),
- at AS (SELECT row, i, label FROM s JOIN p ON array_to_string(w[i + 1:i + n], ' ') = phrase),
- g AS (SELECT row, count(*) AS n, min(i) AS a, max(i) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM at GROUP BY row)
+ f AS (SELECT row, i, label FROM s JOIN p ON array_to_string(w[i + 1:i + n], ' ') = phrase),
+ g AS (SELECT row, count(*) AS n, min(i) AS a, max(i) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM f GROUP BY row)
  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN g USING (row)"""

@@ -1,3 +1,6 @@
+import re
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -14,6 +17,27 @@ def test_ngrams_mark_capitals_and_repeats():
     assert (Q.ngrams("a b")[:2] != Q.ngrams("b a")[:2]).all() and Q.ngrams("a b")[2] != Q.ngrams("b a")[2]
 
 
+def plain_buckets(text):
+    """The buckets by their definition, one token at a time in unbounded integers."""
+    wrap = lambda x: (x + 2**63) % 2**64 - 2**63
+    bucket = lambda h: 16 + (wrap(h * 0x9E3779B1) >> 7) % (10_000 - 16)
+    out, before = [], None
+    for token in re.findall(r"\w+|[^\w\s]+", text or ""):
+        h = zlib.crc32(token.lower().encode())
+        out.append(bucket(h))
+        if before is not None:
+            out.append(bucket(wrap(before * 31 + h)))
+            out += [2] if before == h else []
+        out += [1] if len(token) > 1 and token.isupper() else []
+        before = h
+    return sorted(out)
+
+
+def test_ngrams_against_their_definition(spark):
+    for r in table(spark, "/root/testdata/sf0.001", "documents").collect()[:120]:
+        assert plain_buckets(r.text) == sorted(Q.ngrams(r.text).tolist())
+
+
 def test_weights_against_brute_force(spark):
     docs, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
     model = Q.fit(docs, labels)
