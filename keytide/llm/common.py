@@ -69,7 +69,7 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def chunks(texts: list, most: int = 2 << 20) -> Iterator[slice]:
+def chunks(texts: list, most: int = 1 << 20) -> Iterator[slice]:
     """Runs of texts of about ``most`` characters, to bound what is made of them at once."""
     start = size = 0
     for i, t in enumerate(texts):

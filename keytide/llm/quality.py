@@ -153,15 +153,19 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float |
     return lo
 
 
-def resample(docs: DataFrame, model: Model, *, k: int | None = None, temperature: float = 1.0, seed: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_grams, log_weight, gumbel_key, selected, row_key."""
+def resample(docs: DataFrame, model: Model, *, k: int | None = None, temperature: float = 1.0, seed: int = 0, doc_id: str = "doc_id", text: str = "text", drawn: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_grams, log_weight, gumbel_key, selected, row_key; with ``drawn``, the selected
+    rows of ``docs`` themselves, which are written beside their keys and so needn't be joined with them."""
     small_batches(docs.sparkSession)
-    w = docs.select(F.col(doc_id).alias("id"), row_key(F.col(text)).alias("h"), weigher(model.ratio)(F.col(text)).alias("x"))
-    keyed = cut(w.select("id", "h", "x.n_grams", "x.log_weight", (F.col("x.log_weight") / temperature + gumbel(F.coalesce("id", F.lit(0)), F.col("h"), F.lit(seed))).alias("gumbel_key")))
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if drawn else []
+    w = docs.select(F.col(doc_id).alias("id"), row_key(F.col(text)).alias("h"), weigher(model.ratio)(F.col(text)).alias("x"), *whole)
+    keyed = cut(w.select("id", "h", "x.n_grams", "x.log_weight", *(["row"] if drawn else []), (F.col("x.log_weight") / temperature + gumbel(F.coalesce("id", F.lit(0)), F.col("h"), F.lit(seed))).alias("gumbel_key")))
     if k is None:
         k = keyed.filter(F.col("log_weight") >= F.lit(float(model.threshold))).count()
     last = kth_largest(keyed, "gumbel_key", k)
     stays = F.lit(False) if last is None else F.col("gumbel_key") >= F.lit(last)
+    if drawn:
+        return keyed.filter(stays).select("row.*")
     return keyed.select(F.col("id").alias(doc_id), "n_grams", "log_weight", "gumbel_key", stays.alias("selected"), F.col("h").alias("row_key"))
 
 

@@ -54,7 +54,7 @@ def test_toxicity(spark, stages):
 def test_quality(spark, stages):
     a, b = stages["quality"]
     model = quality.fit(a, table(spark, SF, "labels"))
-    rows = quality.resample(a, model, temperature=0.05).collect()
+    rows = quality.resample(a, model).collect()
     k = sum(r.log_weight >= model.threshold for r in rows)
     assert ids(b) == sorted(r.doc_id for r in sorted(rows, key=lambda r: -r.gumbel_key)[:k])
     good = {r.doc_id for r in table(spark, SF, "labels").filter("quality = 1").collect()} & set(ids(a))

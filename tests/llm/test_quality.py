@@ -71,7 +71,7 @@ def test_kth_largest_with_ties(spark):
 
 def test_separates_labelled_rows(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
-    out = Q.resample(docs, Q.fit(docs, labels), temperature=0.05).join(labels, "doc_id")
+    out = Q.resample(docs, Q.fit(docs, labels)).join(labels, "doc_id")
     got = {(r.quality, r.selected): r.n for r in out.groupBy("quality", "selected").agg(F.count("*").alias("n")).collect()}
     assert got.get((1, False), 0) <= 0.005 * got[1, True] and got.get((0, True), 0) <= 0.1 * got[0, False], got
 
