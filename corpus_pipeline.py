@@ -5,8 +5,8 @@ return the columns of ``documents``. Learned models come from the labels and the
 given; statistics of the corpus are those of the stage's own input.
 
 toxicity: drops texts that score at least 0.7.
-quality: keeps the Gumbel top-k by importance weight, k being the number of texts above the weight that best
-    separates labelled good from bad; the low temperature leaves chance only to texts at that threshold.
+quality: draws k texts in proportion to their importance weights, without replacement (Gumbel top-k), k being the number of
+    texts above the weight that best separates labelled good from bad.
 near_dups: of each component of 5-word-shingle similarity >= 0.8, one row stays, which has the smallest id (a null
     one only if there is no other); texts without words stay. Unrelated texts under one id, or without an id, are
     different texts and all stay; rows that repeat both an id and a text stay once.
@@ -25,10 +25,10 @@ from keytide.llm.common import cut, row_key, table
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id and text ``decided`` (doc_id, row_key) holds."""
+def _only(docs: DataFrame, decided: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of ``docs`` whose id and text ``decided`` (doc_id, row_key) holds, or (left_anti) doesn't hold."""
     d = decided.select(F.col("doc_id").alias("_decided_id"), F.col("row_key").alias("_decided_key"))
-    return docs.join(d, F.col("doc_id").eqNullSafe(F.col("_decided_id")) & (row_key(F.col("text")) == F.col("_decided_key")), "left_semi")
+    return docs.join(d, F.col("doc_id").eqNullSafe(F.col("_decided_id")) & (row_key(F.col("text")) == F.col("_decided_key")), how)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = _quality.fit(docs, table(spark, sf_dir, "labels"))
-    drawn = _quality.resample(docs, model, temperature=0.05)
-    return _only(docs, drawn.filter("selected"))
+    return _quality.resample(docs, model, drawn=True)
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +55,8 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     hit = _decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, hit.filter("n_hit = 0"))
+    # written first: a few rows, which Spark can then send to where the texts are
+    return _only(docs, cut(hit.filter("n_hit > 0").select("doc_id", "row_key").distinct()), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -376,6 +376,22 @@ def test_large_bulk_writes_are_dealt_by_key(spark, tmp_path):
     assert len(t.changelog(start="k0000", end="k0001").inputFiles()) == 1 and t.scan().count() == 2000
 
 
+@pytest.mark.parametrize(("bloom", "codec"), [(True, "zstd"), (False, "snappy")])
+def test_files_have_the_filter_and_the_codec_asked_for(spark, tmp_path, bloom, codec):
+    t = KVTable.open(spark, str(tmp_path / "t"), Config(bloom=bloom, compression=codec))
+    t.write_frame(spark.range(500).selectExpr("concat('k', lpad(id, 4, '0')) key", "string(id) value").coalesce(1))
+    jvm = spark._jvm.org.apache.parquet.hadoop
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{t.path}/{t.files(0)[0].file}")
+    reader = jvm.ParquetFileReader.open(jvm.util.HadoopInputFile.fromPath(path, spark._jsc.hadoopConfiguration()))
+    key = reader.getFooter().getBlocks().get(0).getColumns().get(0)
+    assert key.getPath().toDotString() == "key" and (key.getBloomFilterOffset() > 0) == bloom and key.getCodec().toString() == codec.upper()
+    if bloom:
+        found = reader.readBloomFilter(key)
+        hashed = lambda k: found.hash(spark._jvm.org.apache.parquet.io.api.Binary.fromString(k))
+        assert all(found.findHash(hashed(f"k{i:04d}")) for i in range(0, 500, 50)) and sum(found.findHash(hashed(f"absent{i}")) for i in range(50)) < 10
+    reader.close()
+
+
 def test_publishing_by_rename_refuses_an_existing_version(table, spark, tmp_path):
     for part in (table.log, table.wal):
         part.local = False
