@@ -4,8 +4,8 @@ A vector is scaled to length 1 and projected on ``M`` random directions. Two vec
 projection if one's value lies in the window of half-width ``WINDOW`` around the other's. At cosine 0.98 the
 difference is normal with deviation 0.2, so a pair at the threshold collides in a projection with a known
 probability, and the number of its collisions is binomial: pairs with fewer than ``calibrated(...)``
-collisions are dropped (at most a 1e-4 share of true pairs), the others are verified by cosine in double
-precision.
+collisions are dropped, first by the windows of ``FIRST`` projections, then by those of all (together at most a 1e-4 share of
+true pairs), the others are verified by cosine in double precision.
 
 Windows are scanned in cells instead of over a whole label: in each of L tables, the signs of ``bits`` further
 projections make a cell. L follows from ``bits`` so that a pair at the threshold shares a cell with
@@ -35,7 +35,7 @@ from keytide.llm.common import cut, forget, join_counted, small_batches, table
 from keytide.llm.graph import components, deal, spanning_forest
 from keytide.llm.near_dups import mix
 
-M, WINDOW, TILE = 32, 0.45, 1024
+M, FIRST, WINDOW, TILE = 32, 12, 0.45, 1024
 _OUT = "kind int, a long, b long, n long"
 
 
@@ -43,15 +43,15 @@ def _phi(x: float) -> float:
     return 0.5 * math.erfc(-x / math.sqrt(2))
 
 
-def calibrated(cosine: float, miss: float = 1e-4) -> int:
-    """The largest count of collisions that a pair at the threshold reaches with probability 1 - miss."""
+def calibrated(cosine: float, miss: float = 5e-5, m: int = M) -> int:
+    """The largest count of collisions in ``m`` projections that a pair at the threshold reaches with probability 1 - miss."""
     p = 2 * _phi(WINDOW / math.sqrt(2 - 2 * cosine)) - 1
     below = 0.0
-    for k in range(M + 1):
-        below += math.comb(M, k) * p**k * (1 - p) ** (M - k)
+    for k in range(m + 1):
+        below += math.comb(m, k) * p**k * (1 - p) ** (m - k)
         if below > miss:
             return k
-    return M
+    return m
 
 
 def plan(n: int, cosine: float) -> tuple[int, int]:
@@ -117,6 +117,16 @@ def collisions(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return count
 
 
+def counted(p: np.ndarray, q: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (row of p, row of q) that collide as often as it takes: in the windows of the first projections, then in all."""
+    a, b = np.nonzero(collisions(p[:, :FIRST], q[:, :FIRST]) >= calibrated(cosine, m=FIRST))
+    least, ok = calibrated(cosine), np.zeros(len(a), bool)
+    for s in range(0, len(a), 1 << 16):
+        part = slice(s, s + (1 << 16))
+        ok[part] = (np.abs(p[a[part]] - q[b[part]]) <= WINDOW).sum(1) >= least
+    return a[ok], b[ok]
+
+
 class _Tile:
     """The rows of one pair of blocks of a cell."""
 
@@ -127,7 +137,7 @@ class _Tile:
         self.v: list[np.ndarray] = []
         self.side: list[int] = []
 
-    def compare(self, cosine: float, least: int, bits: int, tables: int, seed: int, links: dict, edges: list) -> None:
+    def compare(self, cosine: float, bits: int, tables: int, seed: int, links: dict, edges: list) -> None:
         node, mass, side = np.array(self.node), np.array(self.n), np.array(self.side)
         left = np.arange(len(node)) if self.whole else np.flatnonzero(side == 0)
         right = left if self.whole else np.flatnonzero(side == 1)
@@ -135,10 +145,10 @@ class _Tile:
             return
         x = unit(self.v)
         proj = x @ directions(x.shape[1], M, seed + 1)
-        may = collisions(proj[left], proj[right]) >= least
+        first, second = counted(proj[left], proj[right], cosine)
         if self.whole:
-            may &= np.arange(len(left))[:, None] < np.arange(len(right))
-        first, second = np.nonzero(may)
+            once = first < second
+            first, second = first[once], second[once]
         first, second = left[first], right[second]
         seen = cells(x, bits, tables, seed)[:, : self.t] if len(first) else None
         for s in range(0, len(first), 1 << 16):
@@ -193,13 +203,12 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, vec_id: str = "vec
 
     most = classes.groupBy("label").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
     bits, tables = plan(most, cosine)
-    least = calibrated(cosine)
     keyed = cut(classes.select("node", "v", "label_key").mapInArrow(partial(_keys, bits=bits, tables=tables, seed=seed), "node long, keys array<long>"))
     placed = keyed.select("node", F.posexplode("keys").alias("t", "key"))
     blocks = placed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key", F.ceil(F.col("c") / TILE).cast("int").alias("blocks"))
     dealt = deal(placed.join(blocks, "key"), "node", "t")
     tiles = dealt.join(classes.select("node", "n", "v"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = cut(tiles.mapInArrow(partial(_tiles, cosine=cosine, least=least, bits=bits, tables=tables, seed=seed), _OUT))
+    found = cut(tiles.mapInArrow(partial(_tiles, cosine=cosine, bits=bits, tables=tables, seed=seed), _OUT))
 
     links = found.filter("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     roots = components(found.filter("kind = 1").select("a", "b"))

@@ -75,6 +75,19 @@ def test_calibration():
     assert 1 - (1 - (1 - math.acos(0.98) / math.pi) ** bits) ** tables > 0.997
 
 
+def test_counting_in_two_steps_loses_few_true_pairs():
+    rng = np.random.default_rng(5)
+    for dim in (8, 64):
+        x = rng.standard_normal((400, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        off = rng.standard_normal(x.shape)
+        off -= (off * x).sum(1, keepdims=True) * x
+        y = 0.98 * x + math.sqrt(1 - 0.98**2) * off / np.linalg.norm(off, axis=1, keepdims=True)  # all at the threshold
+        way = V.directions(dim, V.M, 1)
+        a, b = V.counted(x @ way, y @ way, 0.98)
+        assert (a == b).sum() >= 399 and len(a) < (0.3 * 400**2 if dim == 8 else 410)
+
+
 def test_collisions_count_windows():
     rng = np.random.default_rng(0)
     p, q = rng.standard_normal((7, 5)), rng.standard_normal((9, 5))
