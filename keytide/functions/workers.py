@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId not in _shipped:
         _shipped.add(sc.applicationId)
         root = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="keytide-")) / f"{root.name}.zip"
+        folder = Path(tempfile.mkdtemp(prefix="keytide-"))
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = folder / f"{root.name}.zip"
         with zipfile.ZipFile(archive, "w") as z:
             for f in sorted(root.rglob("*.py")):
                 z.write(f, f.relative_to(root.parent))
