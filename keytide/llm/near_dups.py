@@ -178,13 +178,13 @@ def _verify(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
 def _split(inside: DataFrame, comps: DataFrame) -> DataFrame:
     """Members of buckets that hold several components, with their component."""
     c = inside.join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    several = c.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-    return c.join(several, "key")
+    several = c.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).filter("lo != hi").select("key", "rows")
+    return join_counted(c, cut(several), "key", "rows")
 
 
 def _blocks(members: DataFrame, most: Column) -> DataFrame:
     """``members`` with the number of blocks of their bucket, ``most`` of it."""
-    return members.join(members.groupBy("key").agg(F.ceil(most).cast("int").alias("blocks")), "key")
+    return join_counted(members, cut(members.groupBy("key").agg(F.ceil(most).cast("int").alias("blocks"), F.count("*").alias("rows"))), "key", "rows")
 
 
 def _tiles_of(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], big: str) -> Iterator[list[tuple]]:
