@@ -92,7 +92,7 @@ class KVTable:
         self.version, actions = self.log.replay()
         live, self._obsolete = compaction.live_files(actions)
         self._files = {f: DataFile.of(a) for f, a in live.items()}
-        self.next_seq, self.cutoff, last_writer = 1, 0, ""
+        self.next_seq, self.cutoff, self._last_writer = 1, 0, ""
         self.applied: dict[str, int] = {}
         for a in actions:
             if a["action"] == "seq":
@@ -100,7 +100,7 @@ class KVTable:
             elif a["action"] == "cutoff":
                 self.cutoff = max(self.cutoff, a["seq"])
             elif a["action"] == "writer":
-                last_writer = a["writer"]
+                self._last_writer = a["writer"]
             elif a["action"] == "stream":
                 self.applied[a["stream"]] = a["batch"]
             elif a["action"] == "config":
@@ -110,7 +110,7 @@ class KVTable:
                 raise FileNotFoundError(f"{self.path}/{f} is in the log but not in storage")
         self.wal = WriteLog(spark, self.config.wal_dir or f"{self.path}/_wal", self.writer, self.config.sync_writes)
         self._recovered = [s.name for s in self.wal.segments()]
-        rows, _ = self.wal.replay(self.cutoff, (self.version, last_writer))
+        rows, _ = self.wal.replay(self.cutoff, (self.version, self._last_writer))
         if rows:
             self._hold(rows)
             self.next_seq = max(self.next_seq, rows[-1][1] + 1)
@@ -129,11 +129,13 @@ class KVTable:
         if self._error is not None:
             raise RuntimeError("an earlier write failed; reopen the table") from self._error
 
-    def _commit(self, actions: list[dict]) -> None:
+    def _commit(self, actions: list[dict], takes_over: bool = True) -> None:
+        """One more version. With ``takes_over``, other writers' logged writes count no more: whoever commits so holds them, or has put them in files."""
         try:
-            self.log.commit(self.version + 1, [*actions, {"action": "writer", "writer": self.writer}])
+            self.log.commit(self.version + 1, [*actions, *([{"action": "writer", "writer": self.writer}] if takes_over else [])])
             self.version += 1
             self._wrote = True
+            self._last_writer = self.writer if takes_over else self._last_writer
         except Exception as e:
             self._error = e
             raise
@@ -341,6 +343,8 @@ class KVTable:
     def compact(self, level: int | None = None) -> list[DataFile]:
         """Merge a level (the one most due if None) into the next: one commit adds and removes."""
         self._ready()
+        if self._recovered:  # what another writer has logged goes into files before a commit of ours takes over
+            self.flush()
         level = self.pick_level() if level is None else level
         if level is None:
             return []
@@ -377,7 +381,7 @@ class KVTable:
         live = [f.action() for f in self._files.values()]
         gone = [{"action": "remove", "file": f} for f in sorted(self._obsolete)]
         marks = [{"action": "stream", "stream": k, "batch": v} for k, v in self.applied.items()]
-        marks += [{"action": "cutoff", "seq": self.cutoff}, {"action": "writer", "writer": self.writer}]
+        marks += [{"action": "cutoff", "seq": self.cutoff}, {"action": "writer", "writer": self._last_writer}]
         self.log.checkpoint(self.version, gone + live + marks + [{"action": "seq", "next_seq": self.next_seq}, {"action": "config", "key_type": self.config.key_type}])
 
     def vacuum(self, orphan_seconds: float = 86_400.0) -> list[str]:
@@ -387,7 +391,7 @@ class KVTable:
         pinned = {f.file for s in self._pins.values() for f in s.files}
         gone = [f for f in sorted(self._obsolete) if f not in pinned and f not in self._files and self._delete(f)]
         if gone:
-            self._commit([{"action": "forget", "files": gone}])
+            self._commit([{"action": "forget", "files": gone}], takes_over=False)
             self._obsolete -= set(gone)
         return gone + self._orphans(pinned, orphan_seconds)
 

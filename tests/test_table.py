@@ -327,6 +327,24 @@ def test_an_overtaken_writer_is_left_out(table, spark, tmp_path):
     assert pairs(KVTable.open(spark, str(tmp_path / "t")).scan()) == [("a", "1")]
 
 
+def test_upkeep_by_another_instance_loses_no_logged_write(plain, spark, tmp_path):
+    for k in "ab":
+        plain.put(k, k)
+        plain.flush()
+    plain.compact(0)
+    plain.put("c", "c")
+    plain.put("d", "d")
+    plain.compact(1)  # a commit that leaves c and d in the write log
+    want = [(k, k) for k in "abcd"]
+    open_ = lambda: KVTable.open(spark, str(tmp_path / "t"), Config(auto_compact=False))
+    open_().checkpoint()
+    assert pairs(open_().scan()) == want
+    assert len(open_().vacuum()) == 3
+    assert pairs(open_().scan()) == want
+    open_().compact(2)
+    assert pairs(open_().scan()) == want and segment(tmp_path) == []
+
+
 def test_a_full_buffer_is_flushed(spark, tmp_path):
     t = KVTable.open(spark, str(tmp_path / "t"), Config(buffer_bytes=200, auto_compact=False))
     for i in range(15):
