@@ -221,7 +221,7 @@ class KVTable:
             self._ready()
             rows = self._buffer
             try:
-                self._add(self.spark.createDataFrame(rows, changelog_schema(self.config.key_type)).coalesce(1), level=0, cutoff=rows[-1][1])
+                self._add(self.spark.createDataFrame(rows, changelog_schema(self.config.key_type)).coalesce(1), level=0, cutoff=rows[-1][1], rows=len(rows))
             except Exception as e:
                 self._error = e
                 raise
@@ -236,14 +236,16 @@ class KVTable:
         if level is not None and (level or len({f.file.rsplit("/", 1)[0] for f in self.files(0)}) >= self.config.l0_trigger):
             self.compact(level)
 
-    def _add(self, log: DataFrame, level: int, removed: list[DataFile] = (), parts: int = 0, mark: tuple[str, int] | None = None, cutoff: int = 0) -> list[DataFile]:
-        """Write files and publish them, with the removals, as one commit. Up to ``cutoff``, all acknowledged writes are in files then."""
+    def _add(self, log: DataFrame, level: int, removed: list[DataFile] = (), parts: int = 0, mark: tuple[str, int] | None = None, cutoff: int = 0, rows: int = 0) -> list[DataFile]:
+        """Write files and publish them, with the removals, as one commit. Up to ``cutoff``, all acknowledged writes are in files then.
+        ``rows``: of a file, if known, for the size of its Bloom filter."""
         log = normalise(log)
         log = log.repartitionByRange(parts, "key") if parts else log
         into = f"data/{uuid.uuid4().hex}"
         w = log.sortWithinPartitions("key", F.desc("seq"), "op").write.option("compression", self.config.compression).option("parquet.block.size", self.config.block_size)
         if self.config.bloom:
-            w = w.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+            w = w.option("parquet.bloom.filter.enabled#key", "true")
+            w = w.option("parquet.bloom.filter.expected.ndv#key", rows) if rows else w
         w.parquet(f"{self.path}/{into}")
         new = self._stats(into, level)
         marks = [{"action": "stream", "stream": mark[0], "batch": mark[1]}] if mark else []
@@ -370,7 +372,7 @@ class KVTable:
         kept = compaction.survivors(log, self.oldest_snapshot, bottom) if retain_history else compaction.latest_only(log)
         parts = max(1, -(-sum(f.file_size for f in inputs) // self.config.target_file_bytes))
         try:
-            return self._add(kept, target, inputs, parts)
+            return self._add(kept, target, inputs, parts, rows=-(-sum(f.n_entries for f in inputs) // parts))
         except Exception as e:
             self._error = e
             raise
